@@ -177,3 +177,42 @@ def loose_table() -> dict[int, int | None]:
 
 #: Everything that is a digit of a script in use here, as a regular-expression class.
 DIGIT = "0-9०-९૦-૯"
+
+
+@lru_cache(maxsize=1)
+def _flags():
+    """Per code point: 1 may need folding, 2 may begin and 4 may end a look-alike sequence."""
+    import numpy as np
+
+    flags = np.zeros(0x110000, dtype=np.uint8)
+    r = default_rewriter()
+    for cp in range(0x80, 0x10000):
+        c = chr(cp)
+        if not 0xD800 <= cp < 0xE000 and (r.mapping.get(c, c) != c or unicodedata.normalize("NFC", c) != c):
+            flags[cp] = 1
+        if unicodedata.combining(c) and c not in VIRAMAS:
+            flags[cp] |= 1
+    flags[0x10000:0x20000] |= 1
+    for s in r.longer:
+        flags[ord(s[0])] |= 2
+        flags[ord(s[-1])] |= 4
+    # The nukta is common in plain text: only after letters that compose with it does it matter, and NFC is cheap.
+    return flags
+
+
+def fold_all(texts: list[str]) -> list[str]:
+    """``fold`` of each text, calling it only for texts that hold a character it may change."""
+    import numpy as np
+
+    if not texts:
+        return []
+    joined = "\n".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    flags = _flags()[codes]
+    hit = (flags & 1).astype(bool)
+    hit[1:] |= ((flags[:-1] & 2) > 0) & ((flags[1:] & 4) > 0)
+    hit[2:] |= ((flags[:-2] & 2) > 0) & ((flags[2:] & 4) > 0) & (codes[2:] == 0x200D)
+    starts = np.zeros(len(texts), dtype=np.int64)
+    np.cumsum([len(t) + 1 for t in texts[:-1]], out=starts[1:])
+    hits = np.add.reduceat(hit.astype(np.int32), np.minimum(starts, max(len(hit) - 1, 0))) if len(hit) else [0] * len(texts)
+    return [fold(t) if n else t for t, n in zip(texts, hits)]

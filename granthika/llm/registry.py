@@ -5,10 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike
+from . import language, lookalike, pii, shared_lines
 from .common import docs
 
 
+def _word_model(spark: SparkSession, sf_dir: str) -> language.WordModel:
+    return language.fit_word_model(docs(spark, sf_dir, "lang_samples"), docs(spark, sf_dir, "common_words"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = docs(spark, sf_dir)
+    return shared_lines.shared_lines(df, pii.fit_gazetteer(df))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's shared lines."""
+    df = docs(spark, sf_dir)
+    return shared_lines.without_shared_lines(df.select("doc_id", "source", "text"), p1_found(spark, sf_dir)).drop("text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_cases(docs(spark, sf_dir), _word_model(spark, sf_dir))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document, and of its lines in another language."""
+    return language.label_languages(docs(spark, sf_dir), _word_model(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = docs(spark, sf_dir)
+    return pii.pii_lines(df, pii.fit_gazetteer(df))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders, and the number of values by kind."""
+    df = docs(spark, sf_dir)
+    out = pii.redact_documents(df.select("doc_id", "text"), pii.fit_gazetteer(df)).drop("text")
+    return out.withColumn("pii_counts", F.to_json("pii_counts"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(docs(spark, sf_dir))
 
