@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lookalike, pii, shared_lines
+from . import language, lookalike, pairs, pii, shared_lines
 from .common import docs
 
 
@@ -24,6 +24,11 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_lines.without_shared_lines(df.select("doc_id", "source", "text"), p1_found(spark, sf_dir)).drop("text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = docs(spark, sf_dir, "instruct_pairs")
+    return pairs.pair_defects(df, _word_model(spark, sf_dir), pairs.last_words(df))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_cases(docs(spark, sf_dir), _word_model(spark, sf_dir))
 
