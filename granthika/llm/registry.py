@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lookalike, pairs, pii, shared_lines
+from . import language, leakage, lookalike, pairs, pii, shared_lines
 from .common import docs
 
 
@@ -50,6 +50,10 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("pii_counts", F.to_json("pii_counts"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(docs(spark, sf_dir), docs(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(docs(spark, sf_dir))
 
