@@ -118,11 +118,11 @@ def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, extra: int = E
     return np.ascontiguousarray(basis @ turn[:, best]).astype(np.float32)
 
 
-def aligned(item: list[str], doc: list[str]) -> tuple[int, int]:
+def aligned(item: list[str], doc: list[str], cost: int = 3) -> tuple[int, int]:
     """(words of the item held, other words among them) of the best local alignment, order kept.
 
     A word of the item missing in the document, a word of the document between, or one for the
-    other, each count as one other word and cost three; ends are free."""
+    other, each count as one other word, at the given cost; ends are free."""
     score = [(0, 0, 0)] * (len(doc) + 1)
     best = (0, 0, 0)
     for x in item:
@@ -132,12 +132,12 @@ def aligned(item: list[str], doc: list[str]) -> tuple[int, int]:
             if x == y:
                 c = (s + 1, m + 1, o)
             else:
-                c = (s - 3, m, o + 1)
+                c = (s - cost, m, o + 1)
                 up = score[j + 1]
-                if up[0] > c[0] + 3:
-                    c = (up[0] - 3, up[1], up[2] + 1)
-                if left[0] - 3 > c[0]:
-                    c = (left[0] - 3, left[1], left[2] + 1)
+                if up[0] > c[0] + cost:
+                    c = (up[0] - cost, up[1], up[2] + 1)
+                if left[0] - cost > c[0]:
+                    c = (left[0] - cost, left[1], left[2] + 1)
                 if c[0] <= 0:
                     c = (0, 0, 0)
             new.append(c)
@@ -240,9 +240,14 @@ class Searcher:
     def holds(item: list[str], need: int, part: list[str]) -> bool:
         if lcs(item, part) < (1 - OTHERS) * need:
             return False
-        held, others = aligned(item, part)
-        # A word in ten may be another one; the item's words it stands for count as held.
-        return held + others >= need and others <= OTHERS * (held + others) + 1e-9
+        # A low cost reaches over another word near an end, a high one keeps what follows out.
+        for cost in (3, 2, 1):
+            held, others = aligned(item, part, cost)
+            # A word in ten may be another one, at an end of the passage too.
+            spare = int(OTHERS * (held + others + 1) + 1e-9) - others
+            if held + others + max(0, min(1, spare)) >= need and spare >= 0:
+                return True
+        return False
 
     def search(self, docs: list[list[str]]) -> list[tuple[int, int]]:
         """(document, item's key) of each leak."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, leakage, lookalike, pairs, pii, shared_lines
+from . import language, leakage, lookalike, pairs, pii, prose, shared_lines
 from .common import docs
 
 
@@ -24,6 +24,24 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_lines.without_shared_lines(df.select("doc_id", "source", "text"), p1_found(spark, sf_dir)).drop("text")
 
 
+def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    rows = docs(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().orderBy("word").limit(5_000)
+    return [r[0] for r in rows.collect()]
+
+
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    words = _common_words(spark, sf_dir)
+    samples = docs(spark, sf_dir, "lang_samples").select("text").unionByName(docs(spark, sf_dir, "eval_items").select("text"))
+    rules, names = prose.learn_rules(spark, samples, words)
+    df = docs(spark, sf_dir).select("doc_id", "text")
+    return prose.label_kinds(df, rules, names, words).drop("text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = docs(spark, sf_dir, "instruct_pairs")
     return pairs.pair_defects(df, _word_model(spark, sf_dir), pairs.last_words(df))
