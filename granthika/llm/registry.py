@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, leakage, lookalike, pairs, pii, prose, shared_lines
+from . import language, leakage, lookalike, mixture, pairs, pii, prose, shared_lines, tokens
 from .common import docs
 
 
@@ -47,6 +47,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_defects(df, _word_model(spark, sf_dir), pairs.last_words(df))
 
 
+def p4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, estimated."""
+    pieces = tokens.read_pieces(docs(spark, sf_dir, "tok_pieces"))
+    return tokens.estimate_tokens(docs(spark, sf_dir), pieces, _word_model(spark, sf_dir))
+
+
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by source, language and domain, with subtotals."""
+    return tokens.token_totals(p4_tokens(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_cases(docs(spark, sf_dir), _word_model(spark, sf_dir))
 
@@ -72,6 +83,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(docs(spark, sf_dir), docs(spark, sf_dir, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture, a row per use of a document."""
+    pieces = tokens.read_pieces(docs(spark, sf_dir, "tok_pieces"))
+    counted = tokens.with_token_counts(docs(spark, sf_dir).select("doc_id", "source", "text"), pieces)
+    return mixture.mix(counted, docs(spark, sf_dir, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wished and reached shares of every source."""
+    return mixture.shares(p8_mixture(spark, sf_dir), docs(spark, sf_dir, "source_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(docs(spark, sf_dir))
 
