@@ -1,11 +1,309 @@
-"""The core's registered queries and their SQL."""
+"""The core's queries over whole tables, and the SQL each is checked against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import hashing, redaction
+from .functions import text as T
+from .operators import decoding, dedup, evaluation, instruct, language, packing, quality, sampling, schedule, vocabulary
+from .plans import cleaning
+from .sources import shards
+
+ORDER = ["source", "doc_id"]
+#: Near duplicates from this similarity on.
+NEAR = 0.8
+#: Logits are the embeddings' entries: the first of each vector is its token 0.
+TOP_K, TOP_P, STEPS = 10, 0.5, 500
+BLOCK = 256
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents")
+
+
+def _text() -> F.Column:
+    return T.not_null(F.col("text"))
+
+
+# ------------------------------------------------------------------ documents
+
+
+def corpus_size(spark, d):
+    return quality.corpus_size(_docs(spark, d))
+
+
+def text_measures(spark, d):
+    t = _text()
+    return _docs(spark, d).select("doc_id", T.word_count(t).alias("n_words"), F.round(T.symbol_ratio(t), 9).alias("symbol_ratio"), F.round(T.script_ratio(t), 9).alias("script_ratio"), F.size(T.lines(t)).alias("n_lines"))
+
+
+def repeated_lines(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(T.repeated_line_ratio(_text()), 9).alias("repeated_ratio"))
+
+
+def frame_lines(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(T.frame_line_ratio(_text()), 9).alias("frame_ratio"), T.without_frame_lines(_text()).alias("clean_text"))
+
+
+def quality_reasons(spark, d):
+    return quality.with_quality(_docs(spark, d)).select("doc_id", "n_words", F.coalesce("reject_reason", F.lit("kept")).alias("reason"))
+
+
+def clean_funnel(spark, d):
+    return quality.funnel(_docs(spark, d), F.col("lang") == "mr")
+
+
+def exact_dedup(spark, d):
+    return dedup.exact_dedup(_docs(spark, d).select("source", "doc_id", "text"), ORDER).select("doc_id")
+
+
+def shingle_counts(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(T.shingles(_text())).alias("n_shingles"))
+
+
+def similar_pairs(spark, d):
+    df = _docs(spark, d).select("source", "doc_id", "text")
+    return dedup.similar_pairs(dedup.exact_dedup(df, ["doc_id"]), threshold=NEAR).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+def fuzzy_dedup(spark, d):
+    df = dedup.exact_dedup(_docs(spark, d).select("source", "doc_id", "text"), ORDER)
+    return dedup.fuzzy_dedup(df, ORDER, threshold=NEAR).select("doc_id")
+
+
+def fuzzy_dedup_lsh(spark, d):
+    df = dedup.exact_dedup(_docs(spark, d).select("source", "doc_id", "text"), ORDER)
+    return dedup.fuzzy_dedup(df, ORDER, threshold=NEAR, how="lsh").select("doc_id")
+
+
+def dedup_counters(spark, d):
+    df = _docs(spark, d).select("source", "doc_id", "text")
+    exact = dedup.exact_dedup(df, ORDER)
+    return dedup.dedup_counters(df, exact, dedup.fuzzy_dedup(exact, ORDER, threshold=NEAR))
+
+
+def redacted(spark, d):
+    text, counts = redaction.redact(_text())
+    return _docs(spark, d).select("doc_id", text.alias("redacted"), *[c.alias(f"n_{k}") for k, c in counts.items()])
+
+
+def nfc_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.nfc(_text()).alias("nfc_text"))
+
+
+def clean_pipeline(spark, d):
+    return cleaning.clean(_docs(spark, d)).select("source", "doc_id", "text")
+
+
+def languages(spark, d):
+    model = language.train(_t(spark, d, "lang_samples"))
+    return language.identify(_docs(spark, d), model).select("doc_id", "lang", F.round("prob", 6).alias("prob"))
+
+
+def recovered_documents(spark, d):
+    return shards.recover_documents(_docs(spark, d).select(F.col("doc_id").cast("string").alias("stem"), _text().alias("text")))
+
+
+def first_per_source(spark, d):
+    return sampling.first_per_source(_docs(spark, d).select("source", "doc_id"), 10, ["doc_id"])
+
+
+def ingest_summary(spark, d):
+    return _t(spark, d, "shard_log").groupBy("source", "stage").agg(F.count("*").alias("records"), F.count_distinct("doc_id").alias("docs"), F.sum("n_bytes").alias("bytes"), F.sum("proxy_tokens").alias("proxy_tokens"))
+
+
+# ------------------------------------------------------------ splits, packing
+
+
+def holdout(spark, d):
+    return _docs(spark, d).where(sampling.is_holdout(F.col("source"), F.col("id"), how="md5")).select("doc_id")
+
+
+def _split(df: DataFrame, how: str) -> DataFrame:
+    return df.withColumn("split", sampling.split_of(F.col("source"), F.col("id"), how=how))
+
+
+def splits(spark, d):
+    return _split(_docs(spark, d), "md5").select("doc_id", "split")
+
+
+def splits_xxh64(spark, d):
+    return _split(_docs(spark, d), "xxh64").select("doc_id", "split")
+
+
+def upweighted(spark, d):
+    return sampling.upweight(_split(_docs(spark, d), "md5"), {"wikipedia": 2}).groupBy("source", "split").agg(F.count("*").alias("docs"), F.sum(T.word_count(_text())).alias("words"))
+
+
+def hash_sample(spark, d):
+    return sampling.hash_sample(_docs(spark, d), 0.3, how="md5").select("doc_id")
+
+
+def _streams(spark, d) -> DataFrame:
+    """Word tokens and an end per document that is not blank, wikipedia's train documents twice."""
+    df = _split(_docs(spark, d), "md5").where(~T.is_blank(F.col("text")))
+    copies = sampling.upweight(df, {"wikipedia": 2})
+    ids = F.concat(F.transform(T.words(_text()), lambda w: F.pmod(F.hash(w), F.lit(60_000)) + 2), F.array(F.lit(1)))
+    return packing.with_offsets(copies.select("source", "doc_id", "copy", "split", ids.alias("ids")), ["source", "doc_id", "copy"])
+
+
+def document_offsets(spark, d):
+    return _streams(spark, d).select("split", "doc_id", "copy", "start", "end")
+
+
+def token_blocks(spark, d):
+    return packing.blocks(_streams(spark, d), BLOCK).groupBy("split").agg(F.count("*").alias("blocks"), F.sum(F.size("x")).alias("inputs"), F.sum(F.size(F.filter("x", lambda i: i == 1))).alias("ends_in_x"), F.sum(F.size(F.filter("y", lambda i: i == 1))).alias("ends_in_y"))
+
+
+def split_counts(spark, d):
+    return packing.split_counts(_streams(spark, d))
+
+
+def vocabulary_counts(spark, d):
+    return packing.word_vocabulary(_docs(spark, d))
+
+
+def byte_pair_merges(spark, d):
+    merges = vocabulary.byte_pair_merges(_docs(spark, d), 200)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "place int, left string, right string")
+
+
+# ------------------------------------------------------------ instruction data
+
+
+def _pairs(spark, d) -> DataFrame:
+    flat = instruct.flatten_turns(_t(spark, d, "indic_turns"), keep=("row_id", "dataset"))
+    return flat.select(F.concat_ws("-", "row_id", "turn").alias("example"), F.col("dataset").alias("source"), "instruction", "response")
+
+
+def flat_turns(spark, d):
+    return _pairs(spark, d)
+
+
+def instruction_splits(spark, d):
+    return _pairs(spark, d).withColumn("split", instruct.instruction_split(F.col("source"), F.col("instruction"), how="md5")).groupBy("source", "split").agg(F.count("*").alias("examples"))
+
+
+def chat_texts(spark, d):
+    return _pairs(spark, d).select("example", instruct.chat_text(F.col("instruction"), F.col("response")).alias("chat"))
+
+
+def _examples(spark, d) -> DataFrame:
+    ids = lambda c: F.transform(T.words(c), lambda w: F.length(w) + 1)
+    p = _pairs(spark, d).withColumns({"prompt_ids": ids(instruct.prompt_of(F.col("instruction"))), "response_ids": ids(F.col("response"))})
+    return instruct.masked_examples(p, 64)
+
+
+def masked_examples(spark, d):
+    return _examples(spark, d).select("example", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.array_join(F.transform("mask", lambda i: i.cast("string")), ",").alias("mask"))
+
+
+def padded_batches(spark, d):
+    e = _examples(spark, d).withColumn("batch_id", F.conv(F.substring(F.md5("example"), 1, 4), 16, 10).cast("bigint") % 25)
+    return instruct.padded(e).select("example", "batch_id", F.size("x").alias("length"), F.size(F.filter("y", lambda i: i >= 0)).alias("targets"), F.aggregate("x", F.lit(0).cast("bigint"), lambda s, i: s + i).alias("sum_x"), F.aggregate("y", F.lit(0).cast("bigint"), lambda s, i: s + i).alias("sum_y"))
+
+
+# ------------------------------------------------------------------ evaluation
+
+
+def fertility(spark, d):
+    t = _text()
+    df = _docs(spark, d).select(T.word_count(t).alias("n_words"), F.explode(F.create_map(F.lit("characters"), F.length(t), F.lit("bytes"), F.octet_length(t), F.lit("words"), T.word_count(t))).alias("tokenizer", "n_tokens"))
+    return evaluation.fertility(df)
+
+
+def perplexity(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_type").alias("split"), (F.col("value") / 100).alias("loss"), (F.col("user_id") % 7 + 1).alias("n"))
+    return evaluation.perplexity(e).select("split", F.round("loss", 6).alias("loss"), F.round("perplexity", 5).alias("perplexity"), "tokens")
+
+
+def mean_losses(spark, d):
+    return evaluation.mean_loss(_t(spark, d, "events"), ["event_type"], "value").select("event_type", F.round("mean_loss", 6).alias("mean_loss"))
+
+
+def _tweets(spark, d) -> DataFrame:
+    return shards.clean_tweets(_t(spark, d, "tweets").where("label is not null"))
+
+
+def clean_tweets(spark, d):
+    return _tweets(spark, d).select("tweet_id", "tweet", "label")
+
+
+def exemplars(spark, d):
+    return evaluation.exemplars(_tweets(spark, d).where("split_name = 'train'"), 3).select("tweet_id", "label")
+
+
+def few_shot_prompt(spark, d):
+    shots = evaluation.exemplars(_tweets(spark, d).where("split_name = 'train'"), 3)
+    return evaluation.few_shot_prompt(shots, F.concat(F.col("tweet"), F.lit("\n"), F.col("label").cast("string")))
+
+
+def _predictions(spark, d) -> DataFrame:
+    labels = spark.createDataFrame([(1,), (-1,), (0,)], "label_of int")
+    # Stand-in scores: how far a hash of tweet and label is from nought, in steps that tie at times.
+    scores = _tweets(spark, d).crossJoin(F.broadcast(labels)).select("tweet_id", F.col("label_of"), (-(hashing.bucket(F.concat_ws(":", F.col("tweet_id").cast("string"), F.col("label_of").cast("string")), 8, "md5").cast("double"))).alias("logp"))
+    return evaluation.label_argmax(scores, "tweet_id", "label_of")
+
+
+def label_argmax(spark, d):
+    return _predictions(spark, d)
+
+
+def accuracy(spark, d):
+    got = evaluation.accuracy(_predictions(spark, d).join(_tweets(spark, d).select("tweet_id", "label"), "tweet_id"))
+    return got.select("correct", "n", F.round("accuracy", 9).alias("accuracy"), F.round("baseline", 9).alias("baseline"))
+
+
+def _logits(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("ctx"), F.posexplode("embedding").alias("token", "logit")).withColumn("logit", F.col("logit").cast("double"))
+
+
+def top_k(spark, d):
+    return decoding.top_k(_logits(spark, d), TOP_K).select("ctx", "token")
+
+
+def softmax(spark, d):
+    return decoding.softmax(_logits(spark, d)).select("ctx", "token", F.round("p", 9).alias("p"))
+
+
+def top_p(spark, d):
+    return decoding.top_p(decoding.top_k(_logits(spark, d), TOP_K), TOP_P).select("ctx", "token")
+
+
+def drawn_tokens(spark, d):
+    return decoding.draw(_logits(spark, d), seed=1)
+
+
+def learning_rates(spark, d):
+    return schedule.schedule(spark, STEPS, 0.03, 6e-4, 6e-5).select("step", F.round("lr", 12).alias("lr"))
+
+
+def checkpoints(spark, d):
+    """The newest three events of each user stand for a run's checkpoints, the least value for its loss."""
+    e = _t(spark, d, "events").select("user_id", F.col("event_id").alias("step"))
+    return schedule.newest(e, 3, "step", run="user_id")
+
+
+CORE = [
+    corpus_size, text_measures, repeated_lines, frame_lines, quality_reasons, clean_funnel, exact_dedup, shingle_counts, similar_pairs, fuzzy_dedup, fuzzy_dedup_lsh,
+    dedup_counters, redacted, nfc_text, clean_pipeline, languages, recovered_documents, first_per_source, ingest_summary, holdout, splits, splits_xxh64, upweighted,
+    hash_sample, document_offsets, token_blocks, split_counts, vocabulary_counts, byte_pair_merges, flat_turns, instruction_splits, chat_texts, masked_examples,
+    padded_batches, fertility, perplexity, mean_losses, clean_tweets, exemplars, few_shot_prompt, label_argmax, accuracy, top_k, softmax, top_p, drawn_tokens,
+    learning_rates, checkpoints,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in CORE}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)
