@@ -25,6 +25,11 @@ FRAME_PHRASES = [
 ]
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it, within lambdas too."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def not_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -43,8 +48,7 @@ def word_count(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; a last line end opens no further line, and empty text has none."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def is_blank(text: Column) -> Column:
@@ -66,24 +70,27 @@ def repeated_line_ratio(text: Column) -> Column:
     """Share of the stripped non-empty lines that occur more than once; 0 for fewer than two lines.
 
     Sorting brings equal lines together, so the work is n log n in the lines of a text."""
-    kept = F.array_sort(F.filter(F.transform(lines(text), strip), lambda x: x != ""))
-    n = F.size(kept)
-    alone = F.size(F.filter(kept, lambda x, i: ((i == 0) | (F.get(kept, i - 1) != x)) & ((i == n - 1) | (F.get(kept, i + 1) != x))))
-    return F.when(n < 2, F.lit(0.0)).otherwise((n - alone) / n)
+    def share(kept: Column) -> Column:
+        n = F.size(kept)
+        alone = F.size(F.filter(kept, lambda x, i: ((i == 0) | (F.get(kept, i - 1) != x)) & ((i == n - 1) | (F.get(kept, i + 1) != x))))
+        return F.when(n < 2, F.lit(0.0)).otherwise((n - alone) / n)
+
+    return let(F.array_sort(F.filter(F.transform(lines(text), strip), lambda x: x != "")), share)
 
 
 def has_frame_phrase(line: Column, phrases: list[str] | None = None) -> Column:
-    low = F.lower(strip(line))
-    hit = F.lit(False)
-    for p in phrases if phrases is not None else FRAME_PHRASES:
-        hit = hit | low.contains(p)
-    return hit
+    def any_in(low: Column) -> Column:
+        hit = F.lit(False)
+        for p in phrases if phrases is not None else FRAME_PHRASES:
+            hit = hit | low.contains(p)
+        return hit
+
+    return let(F.lower(strip(line)), any_in)
 
 
 def frame_line_ratio(text: Column, phrases: list[str] | None = None) -> Column:
     """Share of all lines, blank ones too, that hold a phrase of the list; 0 without lines."""
-    own = lines(text)
-    return F.coalesce(F.size(F.filter(own, lambda x: has_frame_phrase(x, phrases))) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0))
+    return let(lines(text), lambda own: F.coalesce(F.size(F.filter(own, lambda x: has_frame_phrase(x, phrases))) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0)))
 
 
 def without_frame_lines(text: Column, phrases: list[str] | None = None) -> Column:
@@ -93,9 +100,11 @@ def without_frame_lines(text: Column, phrases: list[str] | None = None) -> Colum
 
 def shingles(text: Column, n: int = 5) -> Column:
     """The set of runs of ``n`` words; of fewer words, the one run of all."""
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - n))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - n))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
+
+    return let(words(text), runs)
 
 
 def nfc(text: Column) -> Column:

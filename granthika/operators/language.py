@@ -16,8 +16,10 @@ MOST_GRAMS = 200_000
 
 def trigrams(text: Column) -> Column:
     """Trigrams of the lower-case text, white space as single spaces, one space at either end."""
-    t = F.concat(F.lit(" "), F.regexp_replace(T.strip(F.lower(T.not_null(text))), T.SPACE + "+", " "), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3)))
+    plain = F.concat(F.lit(" "), F.regexp_replace(T.strip(F.lower(T.not_null(text))), T.SPACE + "+", " "), F.lit(" "))
+    # Substrings at a place count from the start of UTF-8 text: over characters that is linear.
+    chars = F.filter(F.split(plain, ""), lambda c: c != "")
+    return T.let(chars, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 2)), lambda i: F.array_join(F.slice(c, i, F.lit(3)), "")))
 
 
 def train(samples: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_GRAMS) -> DataFrame:

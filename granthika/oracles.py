@@ -13,11 +13,11 @@ LINES = lambda x: f"(CASE WHEN {x} = '' THEN [] WHEN regexp_matches({x}, '({T.LI
 BUCKET = lambda key, m: f"(('0x' || substr(md5({key}), 1, 8))::BIGINT % {m})"
 KEY = "coalesce(source, '') || ':' || coalesce(id, '')"
 SPLIT = f"CASE WHEN {BUCKET(KEY, 1000000)} / 1e6 < 0.005 THEN 'val' WHEN source = 'wikipedia' AND {BUCKET(KEY, 1000000)} / 1e6 < 0.025 THEN 'wiki_val' ELSE 'train' END"
-FRAME = "(" + " OR ".join(f"contains(low, '{p}')" for p in T.FRAME_PHRASES) + ")"
+FRAME = "(" + " OR ".join(f"contains(@, '{p}')" for p in T.FRAME_PHRASES) + ")"
 
 MEASURES = f"""
 lined AS (SELECT *, {LINES('t')} AS ls FROM docs),
-marked AS (SELECT *, list_filter(ls, lambda x: {FRAME.replace('low', f'lower({STRIP("x")})')}) AS fl, list_filter(ls, lambda x: NOT {FRAME.replace('low', f'lower({STRIP("x")})')}) AS kl FROM lined),
+marked AS (SELECT *, list_filter(ls, lambda x: {FRAME.replace('@', f'lower({STRIP("x")})')}) AS fl, list_filter(ls, lambda x: NOT {FRAME.replace('@', f'lower({STRIP("x")})')}) AS kl FROM lined),
 cleaned AS (SELECT *, CASE WHEN len(ls) = 0 THEN 0.0 ELSE len(fl) / len(ls) END AS frame_ratio, CASE WHEN t = '' THEN t ELSE array_to_string(kl, chr(10)) END AS clean_text FROM marked),
 measured AS (SELECT *, {STRIP('clean_text')} AS c FROM cleaned),
 counted AS (SELECT *, len({WORDS('c')}) AS n_words, len(regexp_extract_all(c, '{T.SYMBOL_CLASS}')) / greatest(1, len({WORDS('c')})) AS symbol_ratio,
@@ -53,7 +53,7 @@ examples AS (SELECT *, list_concat(list_concat(p, r), [1]) AS ids, list_concat(l
 TWEETS = f"tw AS (SELECT tweet_id, {STRIP('tweet')} AS tweet, label, split_name FROM tweets WHERE label IS NOT NULL AND regexp_matches(coalesce(tweet, ''), '{NWS}'))"
 SHOTS = "shots AS (SELECT * FROM tw WHERE split_name = 'train' QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('shots:' || tweet_id), tweet_id) <= 3)"
 PREDICTED = f"""
-scored AS (SELECT tweet_id, l.label_of, -{BUCKET("tweet_id || ':' || l.label_of", 8)}::DOUBLE AS score FROM tw, (VALUES (1, 0), (-1, 1), (0, 2)) AS l(label_of, place)),
+scored AS (SELECT tweet_id, l.label_of, 0 - {BUCKET("tweet_id || ':' || l.label_of", 8)}::DOUBLE AS score FROM tw, (VALUES (1, 0), (-1, 1), (0, 2)) AS l(label_of, place)),
 predicted AS (SELECT tweet_id, label_of AS predicted, score FROM scored QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY score DESC, CASE label_of WHEN 1 THEN 0 WHEN -1 THEN 1 ELSE 2 END) = 1)
 """
 LOGITS = "logits AS (SELECT vec_id AS ctx, unnest(range(0, len(embedding)))::INT AS token, unnest(embedding)::DOUBLE AS logit FROM embeddings)"
@@ -97,7 +97,7 @@ SQL = {
     "masked_examples": f"WITH {TURNS}, {EXAMPLES} SELECT example, array_to_string(ids, ',') AS ids, array_to_string(mask, ',') AS mask FROM examples",
     "padded_batches": f"""WITH {TURNS}, {EXAMPLES}, b AS (SELECT *, ('0x' || substr(md5(example), 1, 4))::BIGINT % 25 AS batch_id FROM examples), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS longest FROM b)
       SELECT example, batch_id, (longest - 1)::INT AS length, list_sum(mask[2:])::INT AS targets, (list_sum(ids[:-2]) + longest - len(ids))::BIGINT AS sum_x, (list_sum(list_transform(range(2, len(ids) + 1), lambda i: CASE WHEN mask[i] = 1 THEN ids[i] ELSE -1 END)) - (longest - len(ids)))::BIGINT AS sum_y FROM m""",
-    "fertility": f"WITH {DOCS}, c AS (SELECT sum(length(t)) AS ch, sum(strlen(t)) AS by, sum(len({WORDS('t')})) AS w FROM docs), u AS (SELECT 'characters' AS tokenizer, ch AS tokens, w FROM c UNION ALL SELECT 'bytes', by, w FROM c UNION ALL SELECT 'words', w, w FROM c) SELECT tokenizer, tokens::BIGINT AS tokens, w::BIGINT AS words, round(tokens / greatest(1, w), 3) AS fertility FROM u",
+    "fertility": f"WITH {DOCS}, c AS (SELECT sum(length(t)) AS ch, sum(strlen(t)) AS octets, sum(len({WORDS('t')})) AS w FROM docs), u AS (SELECT 'characters' AS tokenizer, ch AS tokens, w FROM c UNION ALL SELECT 'bytes', octets, w FROM c UNION ALL SELECT 'words', w, w FROM c) SELECT tokenizer, tokens::BIGINT AS tokens, w::BIGINT AS words, round(tokens / greatest(1, w), 3) AS fertility FROM u",
     "perplexity": "SELECT event_type AS split, round(sum(value / 100 * (user_id % 7 + 1)) / sum(user_id % 7 + 1), 6) AS loss, round(exp(sum(value / 100 * (user_id % 7 + 1)) / sum(user_id % 7 + 1)), 5) AS perplexity, sum(user_id % 7 + 1)::BIGINT AS tokens FROM events GROUP BY event_type",
     "mean_losses": "SELECT event_type, round(avg(value), 6) AS mean_loss FROM events GROUP BY event_type",
     "clean_tweets": f"WITH {TWEETS} SELECT tweet_id, tweet, label FROM tw",

@@ -30,7 +30,9 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """The clean documents: same columns, ``text`` cleaned and redacted, ``redactions`` by kind added."""
     if config.languages is not None:
         df = df.where(F.col("lang").isin(list(config.languages)))
-    kept = dedup.exact_dedup(quality.quality_filter(df, config.rules), list(config.order))
+    # What follows reads the survivors several times; the filters run once.
+    survivors = dedup.cut(quality.quality_filter(df, config.rules))
+    kept = dedup.exact_dedup(survivors, list(config.order))
     if config.fuzzy:
         kept = dedup.fuzzy_dedup(kept, list(config.order), threshold=config.similarity, n=config.shingle, how=config.fuzzy, permutations=config.permutations, cap=config.cap)
     text, counts = redaction.redact(F.col("text"), config.unicode_phone)

@@ -247,7 +247,7 @@ def few_shot_prompt(spark, d):
 def _predictions(spark, d) -> DataFrame:
     labels = spark.createDataFrame([(1,), (-1,), (0,)], "label_of int")
     # Stand-in scores: how far a hash of tweet and label is from nought, in steps that tie at times.
-    scores = _tweets(spark, d).crossJoin(F.broadcast(labels)).select("tweet_id", F.col("label_of"), (-(hashing.bucket(F.concat_ws(":", F.col("tweet_id").cast("string"), F.col("label_of").cast("string")), 8, "md5").cast("double"))).alias("logp"))
+    scores = _tweets(spark, d).crossJoin(F.broadcast(labels)).select("tweet_id", F.col("label_of"), (F.lit(0.0) - hashing.bucket(F.concat_ws(":", F.col("tweet_id").cast("string"), F.col("label_of").cast("string")), 8, "md5")).alias("logp"))
     return evaluation.label_argmax(scores, "tweet_id", "label_of")
 
 

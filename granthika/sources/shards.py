@@ -60,9 +60,13 @@ def recover_documents(texts: DataFrame, stem: str = "stem", text: str = "text",
     Paragraphs are parted by empty lines.  Ids are the stem and a number within the file."""
     paragraphs = F.filter(F.transform(F.split(F.col(text), "\n\n", -1), T.strip), lambda p: p != "")
     own = F.filter(F.transform(T.lines(F.col(text)), T.strip), lambda x: x != "")
-    n = F.size(own)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(lines_per_doc)), lambda i: F.array_join(F.slice(own, i + 1, lines_per_doc), "\n"))
-    docs = F.when(F.size(paragraphs) >= 2, paragraphs).when(n > 0, chunks).otherwise(F.array().cast("array<string>"))
+
+    def chunks(ls):
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ls) - 1), F.lit(lines_per_doc))
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(ls, i + 1, F.lit(lines_per_doc)), "\n"))
+        return F.when(F.size(ls) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    docs = T.let(paragraphs, lambda ps: F.when(F.size(ps) >= 2, ps).otherwise(T.let(own, chunks)))
     return texts.select(stem, F.posexplode(docs).alias("_i", "text")).select(F.concat_ws("-", stem, "_i").alias("id"), stem, "text")
 
 
