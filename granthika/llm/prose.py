@@ -39,29 +39,29 @@ _COUNTS = {
     "n_cells": "(?m)^(?:[^\\t\\n]*\\t[^\\t\\n]*\\t|[^\\n]*\\|[^|\\n]*\\||[^;\\n]*;[^\\s;][^;\\n]*;[^\\s;]|[^\\n]*?[^\\s] {3,}[^\\s][^\\n]*? {3,}[^\\s]|[^=\\n]*=[^=\\n]+=|[^,\\n]{1,28}(?:,[^\\s,][^,\\n]{0,27}|,-){2,}[^,\\n]*\\r?$)",
     "n_bare_short": f"(?m)^[{BLANKS}]*[^\\s]+(?:[{BLANKS}]+[^\\s]+){{0,4}}(?<![.\\u0964!?,;\"”])[{BLANKS}\\r]*$",
     "n_separated": " [·•|/»] |[,;] ",
-    "n_code": "[;{}][\\r]?\\n|&[a-z]+;|</|\\(\\)|\\]\\(|=\\[|\\)\\{",
+    "n_code": "(?:[;{}]\\r?\\n)|&[a-z]+;|</|\\(\\)|\\]\\(|=\\[|\\)\\{",
 }
 
 
 #: The words of a text, and its different words, while the statistics are taken.
-_TOKENS, _DISTINCT = "_granthika_tokens", "_granthika_distinct"
+_TOKENS, _DISTINCT, _LENGTHS, _LETTERS, _COUNTED = [f"_granthika_{x}" for x in ("tokens", "distinct", "lengths", "letters", "count_")]
 
 
-def statistics(common_words: list[str], text: str = "text") -> dict[str, Column]:
-    """The statistics of a text as named expressions; of null text all are 0.
+def statistics(common_words: list[str]) -> dict[str, Column]:
+    """The statistics of a text as named expressions over what ``with_statistics`` counts; of null text all are 0.
 
     ``words``, ``mean_word_length``, ``symbol_ratio`` (signs a word), ``ended_lines`` (share of
     lines that end in punctuation), ``common_words`` (share of the different words that are
     common in a language) and further shares of lines and words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = {k: F.regexp_count(t, F.lit(p)).cast("double") for k, p in _COUNTS.items()}
+    n = {k: F.col(_COUNTED + k) for k in _COUNTS}
     tokens = F.col(_TOKENS)
-    n["n_words"] = F.size(F.filter(tokens, lambda w: w != "")).cast("double")
-    n["n_long_words"] = F.size(F.filter(tokens, lambda w: F.length(w) >= 13)).cast("double")
-    n["n_long_tokens"] = F.size(F.filter(tokens, lambda w: F.length(w) >= 28)).cast("double")
+    n["n_words"] = (F.size(tokens) - F.when(F.element_at(tokens, 1) == "", 1).otherwise(0) - F.when((F.size(tokens) > 1) & (F.element_at(tokens, -1) == ""), 1).otherwise(0)).cast("double")
+    lengths = F.col(_LENGTHS)
+    n["n_long_words"] = F.size(F.filter(lengths, lambda w: w >= 13)).cast("double")
+    n["n_long_tokens"] = F.size(F.filter(lengths, lambda w: w >= 28)).cast("double")
     words = F.greatest(n["n_words"], F.lit(1.0))
     lines = F.greatest(n["n_lines"], F.lit(1.0))
-    letters = F.aggregate(tokens, F.lit(0), lambda total, w: total + F.length(w)).cast("double")
+    letters = F.col(_LETTERS)
     distinct = F.col(_DISTINCT)
     common = F.size(F.array_intersect(distinct, F.array(*[F.lit(w) for w in common_words]).cast("array<string>"))).cast("double")
     return {
@@ -90,9 +90,13 @@ def statistics(common_words: list[str], text: str = "text") -> dict[str, Column]
 
 def with_statistics(df: DataFrame, common_words: list[str], text: str = "text") -> DataFrame:
     """``df`` with a column of each statistic; columns of clashing names are replaced."""
-    tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\s\\u00a0\\u2009\\u202f]+")
-    split = df.withColumn(_TOKENS, tokens).withColumn(_DISTINCT, F.array_distinct(_TOKENS))
-    return split.withColumns(statistics(common_words, text)).drop(_TOKENS, _DISTINCT)
+    tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\s\\u00a0\\u2009\\u202f]++")
+    # Each count and array is made once, in a projection of its own; the statistics only combine them.
+    t = F.coalesce(F.col(text), F.lit(""))
+    counted = {_COUNTED + k: F.regexp_count(t, F.lit(p)).cast("double") for k, p in _COUNTS.items()}
+    split = df.withColumns({_TOKENS: tokens, **counted}).withColumns({_DISTINCT: F.array_distinct(_TOKENS), _LENGTHS: F.transform(_TOKENS, lambda w: F.length(w))})
+    summed = split.withColumn(_LETTERS, F.aggregate(_LENGTHS, F.lit(0), lambda total, w: total + w).cast("double"))
+    return summed.withColumns(statistics(common_words)).drop(_TOKENS, _DISTINCT, _LENGTHS, _LETTERS, *counted)
 
 
 # ---------------------------------------------------------------- induction
