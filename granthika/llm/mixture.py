@@ -87,10 +87,11 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sl
     slots = size // slot_tokens
     if not slots:
         return spark.createDataFrame([], "slot bigint, source string, doc_id bigint, copy int, tokens bigint")
+    # A document belongs to the slot its middle falls in, so that long ones don't favour their source.
     sources = F.broadcast(spark.createDataFrame([(s, r, n) for s, _, r, n in used], "source string, repeats int, at_hand bigint"))
     ordered = documents_in_order(docs, seed).join(sources, "source")
     uses = ordered.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-    placed = uses.withColumn("rank", ((F.col("copy") * F.col("at_hand") + F.col("start")) / slot_tokens).cast("bigint"))
+    placed = uses.withColumn("rank", ((F.col("copy") * F.col("at_hand") + F.col("start") + F.col("tokens") / 2) / slot_tokens).cast("bigint"))
     return placed.join(schedule(spark, used, slots, seed), ["source", "rank"]).select("slot", "source", "doc_id", "copy", "tokens")
 
 
