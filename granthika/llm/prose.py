@@ -43,40 +43,61 @@ _COUNTS = {
 }
 
 
-#: The words of a text, and its different words, while the statistics are taken.
-_TOKENS, _DISTINCT, _LENGTHS, _LETTERS, _COUNTED = [f"_granthika_{x}" for x in ("tokens", "distinct", "lengths", "letters", "count_")]
+#: What is counted in a text, while the statistics are taken.
+_COUNTED = "_granthika_counted"
 
 
-def statistics(common_words: list[str]) -> dict[str, Column]:
+def _once(value: Column, fn) -> Column:
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _counts(text: str, common_words: list[str]) -> Column:
+    """All counts of a text as one struct; arrays are bound once."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    common = F.array(*[F.lit(w) for w in common_words]).cast("array<string>")
+
+    def of_lengths(lengths: Column) -> Column:
+        return F.struct(
+            F.size(F.filter(lengths, lambda n: n > 0)).alias("n_words"),
+            F.size(F.filter(lengths, lambda n: n >= 13)).alias("n_long_words"),
+            F.size(F.filter(lengths, lambda n: n >= 28)).alias("n_long_tokens"),
+            F.aggregate(lengths, F.lit(0), lambda total, n: total + n).alias("n_letters"),
+        )
+
+    def of_different(words: Column) -> Column:
+        return F.struct(F.size(words).alias("n_different"), F.size(F.array_intersect(words, common)).alias("n_common"))
+
+    def of_words(words: Column) -> Column:
+        return F.struct(_once(F.transform(words, lambda w: F.length(w)), of_lengths).alias("l"), _once(F.array_distinct(words), of_different).alias("d"))
+
+    tokens = F.split(F.lower(t), "[\\s\\u00a0\\u2009\\u202f]+")
+    return F.struct(*[F.regexp_count(t, F.lit(p)).alias(k) for k, p in _COUNTS.items()], _once(tokens, of_words).alias("w"))
+
+
+def statistics() -> dict[str, Column]:
     """The statistics of a text as named expressions over what ``with_statistics`` counts; of null text all are 0.
 
     ``words``, ``mean_word_length``, ``symbol_ratio`` (signs a word), ``ended_lines`` (share of
     lines that end in punctuation), ``common_words`` (share of the different words that are
     common in a language) and further shares of lines and words."""
-    n = {k: F.col(_COUNTED + k) for k in _COUNTS}
-    tokens = F.col(_TOKENS)
-    n["n_words"] = (F.size(tokens) - F.when(F.element_at(tokens, 1) == "", 1).otherwise(0) - F.when((F.size(tokens) > 1) & (F.element_at(tokens, -1) == ""), 1).otherwise(0)).cast("double")
-    lengths = F.col(_LENGTHS)
-    n["n_long_words"] = F.size(F.filter(lengths, lambda w: w >= 13)).cast("double")
-    n["n_long_tokens"] = F.size(F.filter(lengths, lambda w: w >= 28)).cast("double")
+    at = lambda path: F.col(f"{_COUNTED}.{path}").cast("double")
+    n = {k: at(k) for k in _COUNTS} | {k: at(f"w.l.{k}") for k in ("n_words", "n_long_words", "n_long_tokens")}
+    different, common, letters = at("w.d.n_different"), at("w.d.n_common"), at("w.l.n_letters")
     words = F.greatest(n["n_words"], F.lit(1.0))
     lines = F.greatest(n["n_lines"], F.lit(1.0))
-    letters = F.col(_LETTERS)
-    distinct = F.col(_DISTINCT)
-    common = F.size(F.array_intersect(distinct, F.array(*[F.lit(w) for w in common_words]).cast("array<string>"))).cast("double")
     return {
         "words": n["n_words"],
         "mean_word_length": letters / words,
         "symbol_ratio": n["n_symbols"] / words,
         "ended_lines": n["n_ended"] / lines,
-        "common_words": common / F.greatest(F.size(distinct), F.lit(1)),
+        "common_words": common / F.greatest(different, F.lit(1.0)),
         "words_a_line": n["n_words"] / lines,
         "digit_share": n["n_digits"] / F.greatest(letters, F.lit(1.0)),
         "latin1_share": n["n_latin1"] / F.greatest(letters, F.lit(1.0)),
         "long_tokens": n["n_long_tokens"] / words,
         "long_words": n["n_long_words"] / words,
         # Different words over the root of all words: it hardly depends on length.
-        "different_words": F.size(distinct).cast("double") / F.sqrt(words),
+        "different_words": different / F.sqrt(words),
         "item_lines": n["n_items"] / lines,
         "leader_lines": n["n_leaders"] / lines,
         "cell_lines": n["n_cells"] / lines,
@@ -90,13 +111,9 @@ def statistics(common_words: list[str]) -> dict[str, Column]:
 
 def with_statistics(df: DataFrame, common_words: list[str], text: str = "text") -> DataFrame:
     """``df`` with a column of each statistic; columns of clashing names are replaced."""
-    tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\s\\u00a0\\u2009\\u202f]++")
-    # Each count and array is made once, in a projection of its own; the statistics only combine them.
-    t = F.coalesce(F.col(text), F.lit(""))
-    counted = {_COUNTED + k: F.regexp_count(t, F.lit(p)).cast("double") for k, p in _COUNTS.items()}
-    split = df.withColumns({_TOKENS: tokens, **counted}).withColumns({_DISTINCT: F.array_distinct(_TOKENS), _LENGTHS: F.transform(_TOKENS, lambda w: F.length(w))})
-    summed = split.withColumn(_LETTERS, F.aggregate(_LENGTHS, F.lit(0), lambda total, w: total + w).cast("double"))
-    return summed.withColumns(statistics(common_words)).drop(_TOKENS, _DISTINCT, _LENGTHS, _LETTERS, *counted)
+    # A generated column: a filter on the statistics can't be pushed below it, which would count again.
+    counted = df.withColumn(_COUNTED, F.explode(F.array(_counts(text, common_words))))
+    return counted.withColumns(statistics()).drop(_COUNTED)
 
 
 # ---------------------------------------------------------------- induction
@@ -348,9 +365,9 @@ def learn_rules(spark: SparkSession, samples: DataFrame, common_words: list[str]
 
     texts = [r[0] for r in samples.where(F.col(text).rlike("\\S")).orderBy(text).limit(n).select(text).collect()]
     if not texts:
-        return [], list(statistics(common_words))
+        return [], list(statistics())
     made = labelled_documents(texts, n)
-    names = list(statistics(common_words))
+    names = list(statistics())
     rows = with_statistics(spark.createDataFrame(made, "kind string, text string"), common_words).select("kind", *names).collect()
     return induce(np.array([r[1:] for r in rows], dtype=float), [r[0] for r in rows]), names
 
