@@ -130,6 +130,23 @@ def test_pii_lines_of_odd_rows(spark, names):
     assert {tuple(r) for r in pii.pii_lines(df, names).collect()} == {(1, 2, "email"), (1, 3, "email"), (1, 3, "name")}
 
 
+def test_names_are_learned_from_all_documents(spark):
+    """A name shown three times among 12,600 documents is found; one shown once is found at its cue."""
+    rows = [(i, "या भागात मातीची भांडी तयार करतात.") for i in range(12_600)]
+    for i in (17, 6_000, 12_599):
+        rows[i] = (i, "वार्ताहर: कैवल्या मोरवंडे")
+    rows[9] = (9, "काल कैवल्या मोरवंडे आले.")
+    rows[40] = (40, "पत्र श्री. इरावती माळणसे, नवनगर")
+    rows[41] = (41, "काल ग्रामीण लोग कहते रहे. ग्रामीण लोग कहते हैं. By the river, it ended")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    names = pii.fit_gazetteer(df)
+    assert "मोरवंडे" in names.surnames and "माळणसे" not in names.surnames
+    assert {tuple(r) for r in pii.pii_lines(df, names).collect()} == {(i, 0, "name") for i in (9, 17, 40, 6_000, 12_599)}
+    d = pii.Detector(names)
+    text = "पत्र श्री. इरावती माळणसे, नवनगर"
+    assert [text[a:b] for a, b, _ in d.find(text)] == ["इरावती माळणसे"]
+
+
 # ---------------------------------------------------------------- shared lines
 
 
