@@ -5,13 +5,15 @@ documents, and reduced by a distributed randomised SVD (subspace iteration: part
 passages, only words x rank blocks move).  Windows of every document are folded into that
 space; a window whose cosine with a passage is high makes a candidate, and an alignment of the
 document with the item (longest common subsequence, then a local alignment that counts other
-words) decides.
+words) decides.  Items with a passage of too few weighty words for that go to the alignment with
+every document that holds enough of their words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from .pairs import lcs
 
 #: Items per block; each block's word vectors are what goes to the workers.
 ITEMS_PER_BLOCK = 4_000
-#: Words in more of the documents than this carry no weight.
+#: Words in more of the documents than this carry no weight; see ``Searcher.faint`` for items made of them.
 MOST_DOCS = 0.1
 #: Length and step of an item's passages, and of a document's blocks (a window is three blocks), in words.
 PASSAGE, STEP, BLOCK = 16, 8, 8
@@ -53,8 +55,6 @@ def document_frequencies(df: DataFrame, vocabulary: list[str], text: str = "text
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from collections import Counter
-
         got: Counter = Counter()
         for t in fold_all([x for x in batch.column(0).to_pylist() if x]):
             got.update(wanted.intersection(words_of(t)))
@@ -187,6 +187,23 @@ class Searcher:
         self.of = np.array(of, dtype=np.int64)
         self.passages = np.array(rows, dtype=np.float32).reshape(len(rows), vectors.shape[1])
         self.need = [len(w) if len(w) < LEAST_WORDS else max(LEAST_WORDS, math.ceil(LEAST_SHARE * len(w) - 1e-9)) for _, w in items]
+        #: Of items that vectors may miss: place, words, and how many different ones a document must hold.
+        self.faint = [(i, frozenset(w), self.least_different(w, self.need[i])) for i, (_, w) in enumerate(items) if w and self.is_faint(w, self.need[i])]
+
+    def is_faint(self, item: list[str], need: int) -> bool:
+        """Whether a leak of the item may show fewer than ``LEAST_WEIGHTY`` words that have a vector."""
+        has = [w in self.ids for w in item]
+        return min(sum(has[a : a + need]) for a in range(len(item) - need + 1)) - int(OTHERS * need) - 1 < LEAST_WEIGHTY
+
+    @staticmethod
+    def least_different(item: list[str], need: int) -> int:
+        """How many different words of the item any leak holds at least."""
+        left, k = (1 - OTHERS) * need, 0
+        for _, n in Counter(item).most_common():
+            if left <= 0:
+                break
+            left, k = left - n, k + 1
+        return k
 
     def candidates(self, docs: list[list[str]]) -> set[tuple[int, int, int]]:
         """(document, item, window) whose cosine is high enough."""
@@ -238,6 +255,8 @@ class Searcher:
 
     @staticmethod
     def holds(item: list[str], need: int, part: list[str]) -> bool:
+        if f" {' '.join(item)} " in f" {' '.join(part)} ":
+            return True
         if lcs(item, part) < (1 - OTHERS) * need:
             return False
         # A low cost reaches over another word near an end, a high one keeps what follows out.
@@ -255,6 +274,12 @@ class Searcher:
         for d, i, b in self.candidates(docs):
             near.setdefault((d, i), []).append(b)
         out = []
+        for d, words in enumerate(docs if self.faint else []):
+            held = set(words)
+            for i, have, different in self.faint:
+                near.pop((d, i), None)
+                if len(have & held) >= different and any(self.holds(self.items[i][1], self.need[i], part) for part in dense(words, have, self.need[i])):
+                    out.append((d, self.items[i][0]))
         for (d, i), at in sorted(near.items()):
             key, item = self.items[i]
             need = self.need[i]
@@ -310,10 +335,11 @@ def _leaks_of_block(df: DataFrame, items: list[tuple[int, list[str]]], docs: int
         if tf:
             passages.append((list(tf), list(tf.values())))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
-    if not passages:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    matrix = spark.createDataFrame(passages, "words array<int>, weights array<float>").repartition(max(1, min(64, len(passages) // 500)))
-    vectors = randomised_svd(matrix, len(kept))
+    if passages:
+        matrix = spark.createDataFrame(passages, "words array<int>, weights array<float>").repartition(max(1, min(64, len(passages) // 500)))
+        vectors = randomised_svd(matrix, len(kept))
+    else:
+        vectors = np.zeros((len(kept), 1), dtype=np.float32)
     shared = spark.sparkContext.broadcast((items, ids, weights, vectors))
     made = {}
 

@@ -245,6 +245,31 @@ def test_leaks_are_found_and_like_texts_are_not(spark):
     assert leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    """A hot item's words are in too many documents to weigh; an item that shares most of them is found too."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    hot, rare = [word() for _ in range(30)], [word() for _ in range(30)]
+    items = [(0, hot), (1, rare), (2, hot[:26] + [word() for _ in range(4)])]
+    docs, want = [], set()
+    for d in range(150):
+        body = [word() for _ in range(r.randint(5, 60))]
+        if d % 3 == 0:
+            part = hot[:20] if d % 2 else [*hot[:12], "other", *hot[13:]]
+            body[len(body) // 2 : len(body) // 2] = part
+            want |= {(d, 0), (d, 2)}
+        elif d % 30 == 1:
+            body += rare[5:25]
+            want.add((d, 1))
+        elif d % 3 == 1:
+            body += r.sample(hot, 30)
+        docs.append((d, " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {tuple(x) for x in leakage.leaks(df, it).collect()} == want
+    assert {tuple(x) for x in leakage.leaks(df, it.where("item_id = 0")).collect()} == {x for x in want if x[1] == 0}
+
+
 def test_randomised_svd_finds_the_leading_space(spark):
     import numpy as np
 
