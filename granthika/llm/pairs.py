@@ -9,6 +9,7 @@ or list, and another language than the prompt's that was not asked for.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from .common import by_batch
 from .language import UND, Decoder, WordModel
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_lang")
-#: Rows from which sentence ends and list items are learned at most, and how many of each are kept.
-SAMPLE_ROWS, MOST_ENDS = 20_000, 20_000
+#: Showings from which a sentence end, a list item is known, and the least share of a word's showings that are ends.
+LEAST_ENDS, LEAST_ITEMS, END_SHARE = 5, 2, 0.6
 #: Share of the response's shingles that the prompt holds, and of the prompt that the response gives back, in a copy.
 COPY_RESPONSE, COPY_PROMPT = 0.75, 0.6
 #: Share of a template's words that a refusal holds in order.
@@ -106,7 +107,7 @@ class Refusals:
         self.share = share
 
     def __call__(self, sentences: list[list[str]]) -> bool:
-        for s in sentences[:3]:
+        for s in sentences:
             have = set(s)
             for t in self.templates:
                 need = self.share * len(t)
@@ -115,23 +116,27 @@ class Refusals:
         return False
 
 
-def last_words(df: DataFrame, response: str = "response", rows: int = SAMPLE_ROWS) -> dict[str, set[str]]:
-    """Words that end sentences and items of lists, learned from at most ``rows`` responses."""
-    ends, seen, items = Counter(), Counter(), Counter()
-    for r in df.select(response).where(F.col(response).isNotNull()).limit(rows).toLocalIterator():
-        text = fold_all([r[0]])[0]
-        parts = text.split()
-        for w in parts:
-            bare = w.rstrip(STOPS + CLOSERS)
-            if bare and not bare.isdigit():
-                seen[bare] += 1
-                ends[bare] += w.rstrip(CLOSERS)[-1:] in STOPS if w.rstrip(CLOSERS) else 0
-        lines = text.split("\n")
-        items.update(MARKER.sub("", x).strip().rstrip(STOPS) for x in lines[:-1] if MARKER.match(x))
-    return {
-        "ends": {w for w, n in ends.most_common(MOST_ENDS) if n >= 5 and n >= 0.6 * seen[w]},
-        "items": {x for x, n in items.most_common(MOST_ENDS) if n >= 2},
-    }
+def last_words(df: DataFrame, response: str = "response") -> dict[str, set[str]]:
+    """Words that end sentences and items of lists, learned from all responses; only those known reach the driver."""
+    schema = pa.schema([("kind", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("ends", pa.int64())])
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends, seen, items = Counter(), Counter(), Counter()
+        for text in fold_all([x for x in batch.column(0).to_pylist() if x is not None]):
+            for w in text.split():
+                bare = w.rstrip(STOPS + CLOSERS)
+                if bare and not bare.isdigit():
+                    seen[bare] += 1
+                    if w != bare and w.rstrip(CLOSERS)[-1:] in STOPS and w.rstrip(CLOSERS):
+                        ends[bare] += 1
+            items.update(MARKER.sub("", x).strip().rstrip(STOPS) for x in text.split("\n")[:-1] if MARKER.match(x))
+        kinds, words = ["word"] * len(seen) + ["item"] * len(items), [*seen, *items]
+        return pa.RecordBatch.from_pydict({"kind": kinds, "word": words, "n": [*seen.values(), *items.values()], "ends": [ends[w] for w in seen] + [0] * len(items)}, schema=schema)
+
+    counts = by_batch(df.select(response), count, "kind string, word string, n bigint, ends bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    is_end = (F.col("kind") == "word") & (F.col("ends") >= LEAST_ENDS) & (F.col("ends") >= END_SHARE * F.col("n"))
+    known = counts.where(is_end | (F.col("kind") == "item") & (F.col("n") >= LEAST_ITEMS)).select("kind", "word").collect()
+    return {"ends": {r["word"] for r in known if r["kind"] == "word"}, "items": {r["word"] for r in known if r["kind"] == "item"}}
 
 
 def is_truncated(prompt: str, response: str, known: dict[str, set[str]]) -> bool:
@@ -144,7 +149,11 @@ def is_truncated(prompt: str, response: str, known: dict[str, set[str]]) -> bool
         if not last or last[-1] in ",-:;" or len(lines) < asked:
             return True
         bare = last.rstrip(STOPS)
-        return last[-1] not in STOPS and bare not in known["items"] and any(x != bare and x.startswith(bare) for x in known["items"])
+        if last[-1] in STOPS or bare in known["items"]:
+            return False
+        order = known["order"] if "order" in known else sorted(known["items"])
+        after = bisect_right(order, bare)  # items that go on where this one stops come next in order
+        return after < len(order) and order[after].startswith(bare)
     end = text.rstrip(CLOSERS)
     if not end or end[-1] in STOPS:
         # A lone list number or an opened quotation mark is no end of a sentence.
@@ -172,7 +181,7 @@ def pair_defects(df: DataFrame, model: WordModel, known: dict[str, set[str]], ke
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
-            made.update(d=Decoder(model), refusals=Refusals())
+            made.update(d=Decoder(model), refusals=Refusals(), known={**known, "order": sorted(known["items"])})
         refused = made["refusals"]
         ids = batch.column(0).to_pylist()
         prompts = fold_all([x or "" for x in batch.column(1).to_pylist()])
@@ -193,7 +202,7 @@ def pair_defects(df: DataFrame, model: WordModel, known: dict[str, set[str]], ke
             if copy:
                 out.append((i, "copy"))
                 continue
-            if not refusal and is_truncated(p, a, known):
+            if not refusal and is_truncated(p, a, made["known"]):
                 out.append((i, "truncated"))
             if lang_p != UND and lang_a not in (UND, lang_p) and len(said) >= 3 and lang_a not in asked_languages(p):
                 out.append((i, "other_lang"))

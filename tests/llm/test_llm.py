@@ -203,6 +203,17 @@ def test_defects(spark, model):
     assert got == {(1, "empty"), (2, "empty"), (3, "empty"), (5, "copy"), (6, "refusal"), (7, "other_lang"), (9, "truncated"), (12, "truncated")}
 
 
+def test_ends_are_learned_from_all_responses(spark):
+    """Ends and items shown after the first 20,000 responses count; a refusal may stand after other sentences."""
+    rows = [("या भागात काम आहे.",)] * 20_010 + [("हे काम उरकले.",)] * 5 + [("1. नांगर\n2. कुदळ\n3. विळा",)] * 2
+    known = pairs.last_words(spark.createDataFrame(rows, "response string").coalesce(1))
+    assert known["ends"] == {"आहे", "उरकले"} and known["items"] == {"नांगर", "कुदळ"}
+    list_of = lambda last: f"1. विळा\n2. {last}"
+    assert pairs.is_truncated("यादी द्या", list_of("कुद"), known) and not pairs.is_truncated("यादी द्या", list_of("कुदळ"), known) and not pairs.is_truncated("यादी द्या", list_of("पहार"), known)
+    answer = ["प्रश्न वाचला", "तो लांब आहे", "त्यात चार भाग आहेत", "धन्यवाद", "मी या प्रश्नाचे उत्तर देऊ शकत नाही"]
+    assert pairs.Refusals()([pairs.words_of(x) for x in answer]) and not pairs.Refusals()([pairs.words_of(x) for x in answer[:4]])
+
+
 def test_lcs_equals_the_table():
     r = random.Random(5)
     for _ in range(100):
