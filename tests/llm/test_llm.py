@@ -147,6 +147,21 @@ def test_names_are_learned_from_all_documents(spark):
     assert [text[a:b] for a, b, _ in d.find(text)] == ["इरावती माळणसे"]
 
 
+def test_surrogates_replace_every_value(names):
+    for s in (pii.Surrogates(names, "k"), pii.Surrogates(pii.Gazetteer(set(), set()), "k")):
+        for value in ("सदनिका 117, वाकणेखेड अपार्टमेंट, शाळेजवळ, कुरणेकोट 417 826", "94/अ, जुनी पेठ, मु. पो. शेलणेसरे, पिन 570872", "ઘર નં. 12, રામપુર ગલી, વડનગર", "घर क्र. ५, मळगाव", "घर क्र. ५, \u200b\u200dमळ\u200dगाव"):
+            new = s.surrogate("address", value)
+            left = set(pii._INDIC.findall(value)) & set(pii._INDIC.findall(new))
+            assert new != value and left <= pii.KEPT_IN_ADDRESS and new == s.surrogate("address", value), new
+        for value in ("नऊ शून्य शून्य पाच तीन एक दोन सात आठ सहा", "Nine zero zero five three one two seven eight six", "નવ શૂન્ય એક બે ત્રણ ચાર પાંચ સાત"):
+            new = s.surrogate("phone", value)
+            assert new != value and len(new.split()) == len(value.split()) and pii.SPELLED.fullmatch(new), new
+        for value in ("सारंग रानवटे", "ओवी रानवटे", "Nayanika Moravande", "NAYANIKA K. MORAVANDE", "क. म. रानवटे", "રમેશ પટેલ"):
+            new = s.surrogate("name", value)
+            assert all(a != b for a, b in zip(value.split(), new.split(), strict=True)) and value.isupper() == new.isupper(), new
+        assert "ａ" not in s.surrogate("email", "ａａａａ@ｘ.in")
+
+
 # ---------------------------------------------------------------- shared lines
 
 
