@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MOST_GRAMS = 200_000
+#: Least chance of the likeliest language in the pipeline: chosen for this model, whose chances for sound Marathi lie near 0.6.
+LEAST_PROB = 0.4
 
 
 def trigrams(text: Column) -> Column:

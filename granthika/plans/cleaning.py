@@ -1,4 +1,4 @@
-"""The cleaning pipeline as one lazy plan: filters, exact and near de-duplication, redaction."""
+"""The cleaning pipeline as one lazy plan: language, filters, exact and near de-duplication, redaction."""
 
 from __future__ import annotations
 
@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import redaction
 from ..functions import text as T
-from ..operators import dedup, quality
+from ..operators import dedup, language, quality
 
 
 @dataclass(frozen=True)
 class CleanConfig:
     rules: quality.QualityRules = field(default_factory=quality.QualityRules)
     languages: tuple[str, ...] | None = None
+    target: str = "mr"
+    least_prob: float = language.LEAST_PROB
     order: tuple[str, ...] = ("source", "doc_id")
     similarity: float = 0.8
     shingle: int = 5
@@ -26,8 +28,13 @@ class CleanConfig:
     unicode_phone: bool = False
 
 
-def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
-    """The clean documents: same columns, ``text`` cleaned and redacted, ``redactions`` by kind added."""
+def clean(df: DataFrame, config: CleanConfig = CleanConfig(), language_model: DataFrame | None = None) -> DataFrame:
+    """The clean documents: same columns, ``text`` cleaned and redacted, ``redactions`` by kind added.
+
+    With a model of ``language.train`` the first stage keeps documents identified as ``target``;
+    ``languages`` compares labels only."""
+    if language_model is not None:
+        df = language.passes(df, language.identify(df, language_model), config.target, config.least_prob)
     if config.languages is not None:
         df = df.where(F.col("lang").isin(list(config.languages)))
     # What follows reads the survivors several times; the filters run once.

@@ -98,7 +98,7 @@ def nfc_text(spark, d):
 
 
 def clean_pipeline(spark, d):
-    return cleaning.clean(_docs(spark, d)).select("source", "doc_id", "text")
+    return cleaning.clean(_docs(spark, d), language_model=language.train(_t(spark, d, "lang_samples"))).select("source", "doc_id", "text")
 
 
 def languages(spark, d):

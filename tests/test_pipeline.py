@@ -95,6 +95,16 @@ def test_shards_round_trip_and_incremental_ingest(spark, tmp_path):
         shards.require_column(df, "mar_Deva")
 
 
+def test_pipeline_keeps_the_target_language_only(spark):
+    mr = "हे काम कठीण आहे आणि ते चांगले आहे कारण लोक रोज शेतात जातात"
+    hi = "यह काम कठिन है और वह अच्छा है क्योंकि लोग रोज खेत में जाते हैं"
+    model = language.train(spark.createDataFrame([("mr", mr), ("hi", hi)], "lang string, text string"))
+    long = lambda t: " ".join(" ".join(t.split()[i % 5 :]) for i in range(30))
+    docs = spark.createDataFrame([("s", 1, "hi", long(mr)), ("s", 2, "mr", long(hi)), ("s", 3, "mr", None)], "source string, doc_id bigint, lang string, text string")
+    assert {r.doc_id for r in cleaning.clean(docs).collect()} == {1, 2}
+    assert {r.doc_id for r in cleaning.clean(docs, language_model=model).collect()} == {1}
+
+
 def test_language_filter(spark):
     samples = spark.createDataFrame([("en", "the cat sat on the mat and the dog"), ("mr", "हे काम कठीण आहे आणि ते चांगले आहे")], "lang string, text string")
     docs = spark.createDataFrame([(1, "the dog and the cat"), (2, "काम चांगले आहे"), (3, ""), (4, None)], "doc_id int, text string")
