@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 LOCAL_CHECKPOINT = "/tmp/granthika-checkpoint"
+#: Members from which a bucket of MinHash bands is big.
+BIG_BUCKET = 200
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -88,14 +90,28 @@ def minhash_bands(df: DataFrame, key: str = "doc_id", text: str = "text", thresh
     return hashed.select(key, F.posexplode(signature("_s")).alias("band", "hash"))
 
 
-def candidate_pairs(bands: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(a, b)`` that chain the members of every bucket: each with the bucket's first and with its predecessor.
+def candidate_pairs(bands: DataFrame, key: str = "doc_id", block: int = BIG_BUCKET) -> DataFrame:
+    """``(a, b)``, a < b, of all members of a bucket; big buckets are joined in blocks of about ``block`` members against all, so that none makes one task."""
+    sizes = bands.groupBy("band", "hash").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sized = bands.join(sizes, ["band", "hash"])
+    l = sized.select("band", "hash", F.col(key).alias("a"), F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"))
+    r = sized.select("band", "hash", F.col(key).alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return l.join(r, ["band", "hash", "block"]).where("a < b").select("a", "b").distinct()
 
-    A bucket of m documents gives at most 2m pairs, never all of them."""
-    w = Window.partitionBy("band", "hash").orderBy(key)
-    placed = bands.withColumns({"a": F.first(key).over(w), "p": F.lag(key).over(w)})
-    pairs = placed.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col(key).alias("b")), F.struct(F.col("p").alias("a"), F.col(key).alias("b")))).alias("x")).select("x.*")
-    return pairs.where("a < b").distinct()
+
+def verified_pairs(bands: DataFrame, df: DataFrame, key: str, text: str, threshold: float, n: int, big: int = BIG_BUCKET) -> DataFrame:
+    """``(a, b, similarity)`` of the pairs at the threshold that share a bucket.
+
+    Members of buckets of more than ``big`` go through the exact prefix filter, not through all their pairs."""
+    bands = cut(bands)
+    sizes = bands.groupBy("band", "hash").agg(F.count("*").alias("n"))
+    small = bands.join(sizes.where(F.col("n") <= big), ["band", "hash"]).drop("n")
+    hot = cut(bands.join(sizes.where(F.col("n") > big), ["band", "hash"]).select(key).distinct())
+    sets = df.select(F.col(key).alias("k"), F.transform(T.shingles(T.not_null(F.col(text)), n), lambda s: F.xxhash64(s)).alias("s"))
+    pairs = _verified(candidate_pairs(small, key, big), sets, threshold)
+    if hot.isEmpty():
+        return pairs
+    return pairs.unionByName(similar_pairs(df.join(hot, key, "left_semi"), key, text, threshold, n)).distinct()
 
 
 def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -162,10 +178,8 @@ def fuzzy_dedup(df: DataFrame, order: list[str], text: str = "text", threshold:
     if how == "exact":
         pairs = similar_pairs(ranked, "rank", text, threshold, n)
     else:
-        pairs = candidate_pairs(minhash_bands(ranked, "rank", text, threshold, permutations, n), "rank")
-        if how == "lsh":
-            sets = ranked.select(F.col("rank").alias("k"), F.transform(T.shingles(T.not_null(F.col(text)), n), lambda s: F.xxhash64(s)).alias("s"))
-            pairs = _verified(pairs, sets, threshold)
+        bands = minhash_bands(ranked, "rank", text, threshold, permutations, n)
+        pairs = verified_pairs(bands, ranked, "rank", text, threshold, n) if how == "lsh" else candidate_pairs(cut(bands), "rank")
     kept = keep_first(ranked, pairs)
     if cap is not None:
         last = kept.orderBy("rank").limit(cap).agg(F.max("rank"), F.count("*")).collect()[0]

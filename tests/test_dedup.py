@@ -74,6 +74,18 @@ def test_bands_meet_near_copies(spark):
     assert got == {(1, 2)}
 
 
+def test_every_pair_of_a_bucket_is_compared(spark):
+    """Of four in one bucket only the second and the last are near; big buckets give the same."""
+    texts = {1: "p q r s t", 2: "a b c d e f g h i j k l m n o", 3: "u v w x y", 4: "a b c d e f g h i j k l m n z"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bands = spark.createDataFrame([(i, 0, 7) for i in texts], "doc_id bigint, band int, hash bigint")
+    every = {(a, b) for a in texts for b in texts if a < b}
+    for block in (1, 2, 100):
+        assert {tuple(x) for x in dedup.candidate_pairs(bands, block=block).collect()} == every
+    for big in (3, 100):
+        assert {(r.a, r.b) for r in dedup.verified_pairs(bands, df, "doc_id", "text", 0.8, 5, big).collect()} == {(2, 4)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id int, text string")
     assert dedup.fuzzy_dedup(df, ["doc_id"]).count() == 0
