@@ -55,7 +55,7 @@ def plain_lines(d: Detector, text: str) -> list[str]:
         text = "".join(out) + text[at:]
     text = text.lower()
     if _DATED.search(text):
-        text = "\n".join(_MONTH.sub(" ", x) if len(x) < 200 and _DATED.search(x) else x for x in text.split("\n"))
+        text = "\n".join(_MONTH.sub(" ", x) if _DATED.search(x) else x for x in text.split("\n"))
     return _NOT_LETTERS.sub("", text).split("\n")
 
 

@@ -147,6 +147,19 @@ def test_names_are_learned_from_all_documents(spark):
     assert [text[a:b] for a, b, _ in d.find(text)] == ["इरावती माळणसे"]
 
 
+def test_filters_let_every_value_pass(names):
+    d = pii.Detector(names)
+    for kind, v in [
+        ("phone", "नऊ आठ सात पाच तीन एक दोन सात आठ सहा"), ("phone", "Nine, eight seven six five four three two one one"), ("phone", "seven-eight-nine-one-two-three-four"),
+        ("email", "asmin ( at ) mail (dot) example"), ("email", "asmin [ At ] mail [dot] example"), ("email", "asmin (aT) mail.example"),
+    ]:
+        text = f"पहा: {v}.\nपुढे"
+        assert [(text[a:b], k) for a, b, k in d.find(text)] == [(v, kind)], v
+    assert d.find("एक दोन तीन चार पाच सहा लोक") == []
+    long = "मजकूर " * 60
+    assert shared_lines.plain_lines(d, long + "9 ऑगस्ट 2020") == shared_lines.plain_lines(d, long + "14 मार्च 2021")
+
+
 def test_surrogates_replace_every_value(names):
     for s in (pii.Surrogates(names, "k"), pii.Surrogates(pii.Gazetteer(set(), set()), "k")):
         for value in ("सदनिका 117, वाकणेखेड अपार्टमेंट, शाळेजवळ, कुरणेकोट 417 826", "94/अ, जुनी पेठ, मु. पो. शेलणेसरे, पिन 570872", "ઘર નં. 12, રામપુર ગલી, વડનગર", "घर क्र. ५, मळगाव", "घर क्र. ५, \u200b\u200dमळ\u200dगाव"):
