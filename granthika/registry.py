@@ -17,6 +17,8 @@ NEAR = 0.8
 #: Logits are the embeddings' entries: the first of each vector is its token 0.
 TOP_K, TOP_P, STEPS = 10, 0.5, 500
 BLOCK = 256
+#: Merges learned: the size of the reference's vocabulary.
+MERGES = 32_000
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -170,7 +172,7 @@ def vocabulary_counts(spark, d):
 
 
 def byte_pair_merges(spark, d):
-    merges = vocabulary.byte_pair_merges(_docs(spark, d), 200)
+    merges = vocabulary.byte_pair_merges(_docs(spark, d), MERGES)
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "place int, left string, right string")
 
 

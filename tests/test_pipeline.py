@@ -112,6 +112,37 @@ def test_language_filter(spark):
     assert got[1] == "en" and got[2] == "mr"
 
 
+def test_merges_go_on_to_the_last_pair(spark, tmp_path):
+    """The query's merges equal those of a scan of all pairs, and do not stop at 200."""
+    import random
+
+    from granthika import registry
+
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)) * 2 for _ in range(20)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(x["left"], x["right"]) for x in registry.byte_pair_merges(spark, str(tmp_path)).orderBy("place").collect()]
+    words = [[["▁", *x["word"]], x["n"]] for x in packing.word_vocabulary(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()]
+    want = []
+    while True:
+        pairs = {}
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if best is None or pairs[best] <= 1:
+            break
+        want.append(best)
+        for x in words:
+            new, k = [], 0
+            while k < len(x[0]):
+                two = tuple(x[0][k : k + 2]) == best
+                new.append("".join(best) if two else x[0][k])
+                k += 1 + two
+            x[0] = new
+    assert got == want and len(got) > 200
+
+
 def test_byte_pair_merges(spark):
     df = spark.createDataFrame([("low low low lower newest newest",)], "text string")
     merges = vocabulary.byte_pair_merges(df, 3)
