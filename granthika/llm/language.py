@@ -39,15 +39,16 @@ SPELLINGS = {
     "en": "en eng english en_in en_us en_gb eng_latn",
     "gu": "gu guj gujarati gu_in guj_gujr ગુજરાતી",
     "ne": "ne nep nepali ne_np npi npi_deva nep_deva नेपाली",
-    "und": "und unk unknown none null na n_a mis mul zxx xx",
+    "und": "und zxx",
+    "": "unk unknown none null na n_a mis mul xx",
 }
 
 
 def label_column(label) -> F.Column:
-    """A label's language code; null where it is missing, ``?`` where it names none of the known languages."""
+    """A label's language code, ``und`` among them; null where it is missing or says that it is unknown, ``?`` where it names none of the known languages."""
     plain = F.regexp_replace(F.lower(F.trim(label)), "[^\\p{L}\\p{M}\\p{N}]+", "_")
     known = F.coalesce(*[F.when(plain.isin(names.split()), F.lit(code)) for code, names in SPELLINGS.items()])
-    return F.when(label.isNull() | (plain == "") | (known == UND), F.lit(None)).otherwise(F.coalesce(known, F.lit("?")))
+    return F.when(label.isNull() | (plain == "") | (known == ""), F.lit(None)).otherwise(F.coalesce(known, F.lit("?")))
 
 
 def script(word: str) -> str:
@@ -158,9 +159,10 @@ class WordModel:
 
 
 def fit_word_model(samples: DataFrame, common_words: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> WordModel:
-    """Fit on at most ``rows`` labelled rows ``(lang, text)`` and frequent words ``(lang, word, freq_rank)``."""
-    got = samples.select("lang", "text").where("lang is not null and text is not null").limit(rows).collect()
-    words = common_words.select("lang", "word", "freq_rank").where("lang is not null and word is not null").limit(rows).collect() if common_words is not None else []
+    """Fit on at most ``rows`` labelled rows ``(lang, text)``, of more a sample by hash, and as many frequent words ``(lang, word, freq_rank)``, the most frequent first."""
+    labelled = samples.select("lang", "text").where("lang is not null and text is not null")
+    got = labelled.orderBy(F.xxhash64("text"), "text", "lang").limit(rows).collect()
+    words = common_words.select("lang", "word", "freq_rank").where("lang is not null and word is not null").orderBy("freq_rank", "lang", "word").limit(rows).collect() if common_words is not None else []
     return WordModel.fit([tuple(r) for r in got], [(r[0], r[1], r[2] or 99) for r in words])
 
 

@@ -63,10 +63,10 @@ def test_look_alike_pairs_equal_brute_force(spark):
 
 
 def test_languages_of_documents_and_lines(spark, model):
-    rows = [(1, "hi", MR[0] + "\n" + HI[0] + "\n" + MR[1] + " " + MR[2]), (2, None, EN[0]), (3, "Marathi", MR[1]), (4, "mr", "x9Kd/+aQ7ZtR2bVw8LmP" * 4), (5, "mr", None), (6, "mr", " \n "), (7, "und", "12 34 ... 56")]
+    rows = [(1, "hi", MR[0] + "\n" + HI[0] + "\n" + MR[1] + " " + MR[2]), (2, None, EN[0]), (3, "Marathi", MR[1]), (4, "mr", "x9Kd/+aQ7ZtR2bVw8LmP" * 4), (5, "mr", None), (6, "mr", " \n "), (7, "und", "12 34 ... 56"), (8, "unk", "12 34 ... 56"), (9, "UND", MR[0])]
     df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
     got = {tuple(r) for r in language.language_cases(df, model).collect()}
-    assert got == {(1, -1, "mr"), (1, 1, "hi"), (2, -1, "en"), (4, -1, "und"), (7, -1, "und")}
+    assert got == {(1, -1, "mr"), (1, 1, "hi"), (2, -1, "en"), (4, -1, "und"), (8, -1, "und"), (9, -1, "mr")}
     labels = {r["key"]: (r["lang"], r["confidence"]) for r in language.label_languages(df, model).collect()}
     assert labels[5] == labels[6] == ("und", 0.0) and labels[3][0] == "mr" and labels[3][1] > 0.9
 
