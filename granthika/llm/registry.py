@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its source's shared lines."""
     df = docs(spark, sf_dir)
-    return shared_lines.without_shared_lines(df.select("doc_id", "source", "text"), p1_found(spark, sf_dir)).drop("text")
+    names = pii.fit_gazetteer(df)
+    return shared_lines.without_shared_lines(df.select("doc_id", "source", "text"), shared_lines.shared_forms(df, names)[1], names).drop("text")
 
 
 def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:

@@ -1,9 +1,11 @@
 """Lines repeated across one source's documents (problem 1).
 
-Texts are cut into content-defined chunks: a rolling hash over the letters of a document, line
-ends not among them, sets the cuts, so shared text yields equal chunks wherever it stands.
-Distinct documents are counted per chunk and source; a line all of whose chunks are repeated
-excessively is a candidate, and an exact count of candidate lines follows.
+A document is a stream of letters in which a line end is a character like any other.  A rolling
+hash over three characters sets the cuts of content-defined chunks, so shared text yields equal
+chunks wherever it stands.  Distinct documents are counted per chunk and source; chunks repeated
+excessively are cut, and a line more than half of whose letters are cut in enough documents is a
+candidate.  An exact count of the candidates follows, since single chunks of a few letters are
+frequent in sound text too.
 
 Before hashing, what may be filled in differently is dropped (figures, dates, times, personal
 data), as are case, spacing and punctuation, and characters that look the same are made one.
@@ -12,6 +14,8 @@ data), as are case, spacing and punctuation, and characters that look the same a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -19,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import fold_all
-from .common import by_batch, cut
+from .common import by_batch, cut, rows_bound
 from .pii import Detector, Gazetteer
 
 #: A line is shared from this many documents and this share of its source's documents.
 LEAST_DOCS, LEAST_SHARE = 3, 0.1
-#: The rolling window and the mean length of a chunk, in letters.
-WINDOW, MEAN_CHUNK = 6, 12
-#: Rows of a per-source table that may be broadcast (about 16 bytes each), and its copies otherwise.
+#: The rolling window and the mean length of a chunk, in characters.
+WINDOW, MEAN_CHUNK = 3, 4
+#: A line is a candidate if this share of its letters is cut, in this share of the documents it needs.
+CUT_SHARE, CUT_DOCS = 0.5, 1 / 3
+#: Rows of a per-source table that may go to every worker (about 16 bytes each), and its copies otherwise.
 BROADCAST_ROWS, SALT = 400_000, 64
 
 # Names of the months, which stand for figures in dates.
@@ -40,11 +46,23 @@ MONTHS = (
 ).split()
 _MONTH = re.compile(r"(?<![\wऀ-૿])(?:" + "|".join(sorted(set(MONTHS), key=len, reverse=True)) + r")(?![\wऀ-૿])")
 _DATED = re.compile(r"\d")
-_NOT_LETTERS = re.compile(r"(?:[^\wऀ-෿\n]|[\d_])+")
 
+#: What one batch of documents becomes: a row of packed arrays a document, and a row a source and chunk.
+PACKED = "doc_id bigint, source string, nos binary, keys binary, parts binary, hashes binary, letters binary, chunk int, n bigint"
 
-def plain_lines(d: Detector, text: str) -> list[str]:
-    """The letters of each line of a folded text, without what may be filled in."""
+
+@lru_cache(maxsize=1)
+def _letters():
+    """Per code point whether it is a letter or mark of a word; line ends and the mark between documents stay too."""
+    import numpy as np
+
+    keep = np.array([(c := chr(cp)).isalnum() and not c.isdecimal() or 0x900 <= cp <= 0xDFF and not c.isdecimal() for cp in range(0x40000)] + [False] * (0x110000 - 0x40000))
+    keep[[0, 10]] = True
+    return keep
+
+
+def without_values(d: Detector, text: str) -> str:
+    """A folded text in lower case without what may be filled in; its line ends stay."""
     spans = d.structured(text)
     spans += [(a, b, "name") for a, b in d.people(text) if all(b <= x or y <= a for x, y, _ in spans)]
     if spans:
@@ -56,122 +74,275 @@ def plain_lines(d: Detector, text: str) -> list[str]:
     text = text.lower()
     if _DATED.search(text):
         text = "\n".join(_MONTH.sub(" ", x) if _DATED.search(x) else x for x in text.split("\n"))
-    return _NOT_LETTERS.sub("", text).split("\n")
+    return text.replace("\0", " ")
 
 
-def chunk_hashes(docs: list[list[str]], window: int = WINDOW, mean: int = MEAN_CHUNK) -> list[list[list[int]]]:
-    """Per document and line the 32-bit hashes of the chunks that lie wholly within the line.
+class Lines:
+    """The lines of a batch of documents that hold a letter, as arrays: the letters, and per line its document, number, start and length."""
 
-    Cuts depend on the ``window`` letters before them only; within ``window`` letters of a
-    document's start there are none."""
-    import numpy as np
+    def __init__(self, d: Detector, texts: list[str]):
+        import numpy as np
+
+        joined = "\0".join([without_values(d, t) for t in texts]) + "\0" if texts else ""
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes[_letters()[codes]]
+        ends = np.flatnonzero((codes == 10) | (codes == 0))
+        starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.zeros(0, dtype=np.int64)
+        last = codes[ends] == 0
+        doc = np.concatenate([[0], np.cumsum(last)[:-1]]).astype(np.int64) if len(ends) else starts
+        first = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.add.at(first, doc + 1, 1)
+        no = np.arange(len(ends)) - np.cumsum(first)[doc]
+        used = ends > starts
+        self.codes, self.n_docs = codes, len(texts)
+        self.doc, self.no, self.start, self.size = doc[used], no[used], starts[used], (ends - starts)[used]
 
-    joined = "".join(x for d in docs for x in d)
-    out = [[[] for _ in d] for d in docs]
-    if not joined:
-        return out
-    with np.errstate(over="ignore"):
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        n = len(codes)
-        lengths = np.array([len(x) for d in docs for x in d], dtype=np.int64)
-        doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        ends = np.cumsum(lengths)
+    def keys(self):
+        """A 64-bit hash of each line's letters."""
+        import numpy as np
+
+        raw, size = self.codes.tobytes(), 4
+        return np.array([xxhash.xxh3_64_intdigest(raw[a * size : (a + n) * size]) for a, n in zip(self.start.tolist(), self.size.tolist())], dtype=np.uint64).view(np.int64)
+
+    def chunks(self, window: int = WINDOW, mean: int = MEAN_CHUNK):
+        """(line, chunk's hash, letters of the line in it) of each part of a chunk that lies in a line, in order.
+
+        Whether a cut stands before a character depends on it and its neighbours only, and every
+        document begins and ends with a cut."""
+        import numpy as np
+
+        if not len(self.start):
+            return (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        # The stream: a line end before the first line, and each line with its end.
+        size = self.size + 1
+        begin = 1 + np.concatenate([[0], np.cumsum(size)[:-1]])
+        n = int(size.sum()) + 1
+        stream = np.full(n, 10, dtype=np.uint64)
+        inside = np.arange(n - 1) - np.repeat(begin - 1, size)
+        letter = inside < np.repeat(self.size, size)
+        stream[1:][letter] = self.codes[(np.repeat(self.start, size) + inside)[letter]]
         base = np.uint64(0x9E3779B97F4A7C15)
-        rolled = np.zeros(n, dtype=np.uint64)
-        power = np.uint64(1)
-        for k in range(min(window, n)):
-            rolled[k:] += codes[: n - k] * power
-            power *= base
-        mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        is_cut = (mixed >> np.uint64(33)) % np.uint64(mean) == 0
-        doc_start = np.concatenate([[0], np.cumsum([sum(map(len, d)) for d in docs])[:-1]]).astype(np.int64)
-        for k in range(window - 1):
-            near = doc_start + k
-            is_cut[near[near < n]] = False
-        cuts = np.flatnonzero(is_cut) + 1  # a cut stands before this letter
-        if len(cuts) < 2:
-            return out
-        # A chunk's hash from sums of letters weighed by powers of an odd base, shifted back to 0.
-        weights = np.cumprod(np.full(n, base, dtype=np.uint64))
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        back = np.cumprod(np.full(n, inverse, dtype=np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * weights, dtype=np.uint64)])
-        a, b = cuts[:-1], cuts[1:]
-        hashes = (sums[b] - sums[a]) * back[a]
-        hashes = ((hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        line = np.searchsorted(ends, a, side="right")
-        # A cut within the window's reach of the line before depends on that line.
-        whole = (a >= (ends - lengths)[line] + window) & (b <= ends[line])
-    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    for i, h in zip(line[whole].tolist(), hashes[whole].tolist()):
-        doc = int(doc_of[i])
-        out[doc][i - int(first[doc])].append(h)
-    return out
+        with np.errstate(over="ignore"):
+            rolled, power = np.zeros(n - window + 1, dtype=np.uint64), np.uint64(1)
+            for k in range(window):
+                rolled += stream[k : n - window + 1 + k] * power
+                power *= base
+            mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            cuts = np.flatnonzero((mixed >> np.uint64(33)) % np.uint64(mean) == 0) + window // 2
+            opens = begin[np.flatnonzero(np.diff(self.doc, prepend=-1))]
+            cuts = np.unique(np.concatenate([cuts, opens, opens - 1, [n - 1]]))
+            bounds = np.append(cuts, n)
+            # A chunk's hash from sums of characters weighed by powers of an odd base, shifted back to 0.
+            weights = np.cumprod(np.full(n, base, dtype=np.uint64))
+            back = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64)), dtype=np.uint64))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(stream * weights, dtype=np.uint64)])
+            hashes = (sums[bounds[1:]] - sums[cuts]) * back[cuts]
+            hashes = ((hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        edges = np.unique(np.concatenate([cuts, begin]))
+        edges = edges[edges > 0]
+        stop = np.append(edges[1:], n)
+        line = np.searchsorted(begin, edges, side="right") - 1
+        letters = stop - edges - (stop == begin[line] + size[line])
+        kept = letters > 0
+        return line[kept], hashes[np.searchsorted(cuts, edges, side="right") - 1][kept], letters[kept]
 
 
 def lines_and_chunks(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``(doc_id, source, lines array<struct<no, key, chunks>>)`` of the lines that hold a letter once filled-in values are dropped."""
+    """The lines of every document and what chunks they lie in, packed, and in rows without ``doc_id`` the documents of each chunk and source, counted within the batch."""
     made = {}
-    line = pa.struct([("no", pa.int32()), ("key", pa.int64()), ("chunks", pa.list_(pa.int32()))])
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lines", pa.list_(line))])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(k, pa.binary()) for k in ("nos", "keys", "parts", "hashes", "letters")], ("chunk", pa.int32()), ("n", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
         d = made.get("d") or made.setdefault("d", Detector(names))
-        docs = [plain_lines(d, t) for t in fold_all([t or "" for t in batch.column(2).to_pylist()])]
-        hashed = chunk_hashes(docs)
-        lines = [
-            [{"no": i, "key": xxhash.xxh3_64_intdigest(x) - (1 << 63), "chunks": c} for i, (x, c) in enumerate(zip(doc, h)) if x]
-            for doc, h in zip(docs, hashed)
-        ]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "source": batch.column(1), "lines": lines}, schema=schema)
+        ids, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lines = Lines(d, fold_all([t or "" for t in batch.column(2).to_pylist()]))
+        keys = lines.keys()
+        line, hashes, letters = lines.chunks()
+        parts = np.bincount(line, minlength=len(keys)).astype(np.uint32)
+        rows: dict[str, list] = {k: [] for k in schema.names}
+        at_line = np.searchsorted(lines.doc, np.arange(lines.n_docs + 1))
+        at_part = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)[at_line]
+        small, no = np.minimum(letters, 255).astype(np.uint8), lines.no.astype(np.int32)
+        for i in np.flatnonzero(np.diff(at_line)).tolist():
+            a, b, x, y = at_line[i], at_line[i + 1], at_part[i], at_part[i + 1]
+            for k, v in zip(schema.names, (ids[i], sources[i], no[a:b].tobytes(), keys[a:b].tobytes(), parts[a:b].tobytes(), hashes[x:y].tobytes(), small[x:y].tobytes(), None, None)):
+                rows[k].append(v)
+        names_of = sorted(set(sources))
+        place = {s: i for i, s in enumerate(names_of)}
+        of = np.array([place[s] for s in sources], dtype=np.uint64)
+        once = np.unique((lines.doc[line].astype(np.uint64) << np.uint64(32)) | hashes.view(np.uint32).astype(np.uint64))
+        counted, n = np.unique((of[(once >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (once & np.uint64(0xFFFFFFFF)), return_counts=True)
+        for k in ("doc_id", "nos", "keys", "parts", "hashes", "letters"):
+            rows[k] += [None] * len(counted)
+        rows["source"] += [names_of[i] for i in (counted >> np.uint64(32)).astype(np.int64).tolist()]
+        rows["chunk"] += (counted & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()
+        rows["n"] += n.tolist()
+        return pa.RecordBatch.from_pydict(rows, schema=schema)
 
     cols = df.where(F.col(text).rlike("\\S")).select(F.col(key).cast("bigint"), F.coalesce(F.col(source), F.lit("")), text)
-    return by_batch(cols, run, "doc_id bigint, source string, lines array<struct<no:int,key:bigint,chunks:array<int>>>")
+    return by_batch(cols, run, PACKED)
+
 
+def _looked_up(docs: DataFrame, values: DataFrame, value: str, kind: str, fn: Callable, schema: str) -> DataFrame:
+    """``fn(batch, of)`` of every batch of ``docs``, ``of(i)`` being the sorted array of the values of row i's source.
 
-def _frequent(values: DataFrame, least: DataFrame, value: str) -> DataFrame:
-    """``(source, value)`` counted in enough documents; one input row is one document's value."""
-    return values.groupBy("source", value).agg(F.count("*").alias("n")).join(least, "source").where("n >= least").select("source", value)
+    A source has at most ``values per document / LEAST_SHARE`` frequent values, since each takes
+    a tenth of its documents.  A table of few rows goes to every worker; a bigger one is
+    copied under ``SALT`` keys, so that no source's documents meet in one task."""
+    got = rows_bound(values.select("source", value), BROADCAST_ROWS)
+    if got is not None:
+        known: dict[str, list[int]] = {}
+        for s, v in got:
+            known.setdefault(s, []).append(v)
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+        made: dict = {}
 
+        def few(batch: pa.RecordBatch):
+            import numpy as np
 
-def _with_source_values(docs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """``docs`` with ``of_source``, the array of its source's values.
+            if not made:
+                made.update({s: np.sort(np.array(v, dtype=kind)) for s, v in shared.value.items()})
+            sources, none = batch.column("source").to_pylist(), np.zeros(0, dtype=kind)
+            return fn(batch, lambda i: made.get(sources[i], none))
 
-    A source has at most ``documents per value / LEAST_SHARE`` frequent values, since each takes
-    a tenth of its documents.  The table is broadcast if it has few rows; if not, it is
-    copied under ``SALT`` keys so that no source's documents meet in one task."""
-    few = values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    arrays = values.groupBy("source").agg(F.collect_list(value).alias("of_source"))
-    if few:
-        return docs.join(F.broadcast(arrays), "source", "left")
+        return by_batch(docs, few, schema)
+    arrays = values.groupBy("source").agg(F.array_sort(F.collect_list(value)).alias("of_source"))
     salted = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["source", "_salt"], "left").drop("_salt")
+    joined = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["source", "_salt"], "left").drop("_salt")
 
+    def many(batch: pa.RecordBatch):
+        import numpy as np
 
-def shared_lines(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source", share: float = LEAST_SHARE, docs: int = LEAST_DOCS) -> DataFrame:
-    """``(doc_id, line_no)``: each occurrence of a line that ``docs`` documents and a ``share`` of all documents of its source hold.
+        col = batch.column("of_source")
+        return fn(batch, lambda i: np.array(col[i].as_py() or [], dtype=kind))
+
+    return by_batch(joined, many, schema)
+
+
+def _among(x, known):
+    """Which entries of ``x`` the sorted array ``known`` holds."""
+    import numpy as np
+
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _counted_keys(batch: pa.RecordBatch, chosen: Callable) -> pa.RecordBatch:
+    """``(source, line, n)``: in how many of the batch's documents each key that ``chosen(i)`` gives of row i stands."""
+    import numpy as np
+
+    n: dict[tuple[str, int], int] = {}
+    for i, s in enumerate(batch.column("source").to_pylist()):
+        for k in np.unique(chosen(i)).tolist():
+            n[s, k] = n.get((s, k), 0) + 1
+    return pa.RecordBatch.from_pydict({"source": [s for s, _ in n], "line": [k for _, k in n], "n": list(n.values())}, schema=pa.schema([("source", pa.string()), ("line", pa.int64()), ("n", pa.int64())]))
+
+
+def shared_forms(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source", share: float = LEAST_SHARE, docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(packed lines of every document, ``(source, line)``: the keys of each source's shared lines).
+
+    A line is shared that ``docs`` documents and a ``share`` of all documents of its source hold.
+    Null texts count as documents of their source; a null source is a source of its own."""
+    import numpy as np
 
-    Lines of nothing but signs and filled-in values are none.  Null texts count as documents of
-    their source; a null source is a source of its own."""
     least = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.greatest(F.lit(docs), F.ceil(F.count("*") * F.lit(share) - F.lit(1e-9))).alias("least"))
-    lines = cut(lines_and_chunks(df, names, key, text, source))
-    chunks = lines.select("source", F.explode(F.array_distinct(F.flatten("lines.chunks"))).alias("chunk"))
-    excessive = cut(_frequent(chunks, least, "chunk"))
-    hit = _with_source_values(lines, excessive, "chunk").withColumn("hit", F.array_intersect(F.flatten("lines.chunks"), F.coalesce("of_source", F.array().cast("array<int>"))))
-    candidates = hit.select("doc_id", "source", F.filter("lines", lambda x: F.forall(x.chunks, lambda c: F.array_contains(F.col("hit"), c))).alias("lines")).where(F.size("lines") > 0)
-    keys = candidates.select("source", F.explode(F.array_distinct("lines.key")).alias("line"))
-    frequent = cut(_frequent(keys, least, "line"))
-    found = _with_source_values(candidates.select("doc_id", "source", F.transform("lines", lambda x: F.struct(x.no.alias("no"), x.key.alias("key"))).alias("lines")), frequent, "line").where("of_source is not null")
-    kept = found.select("doc_id", F.explode(F.filter("lines", lambda x: F.array_contains(F.col("of_source"), x.key))).alias("x"))
-    return kept.select("doc_id", F.col("x.no").alias("line_no"))
-
-
-def without_shared_lines(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``clean_text``, the text without the found lines, and ``n_removed``; other columns and rows stay."""
-    numbers = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_nos"))
-    joined = df.join(numbers, df[key] == F.col("_doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("_nos"), i))
-    return joined.withColumns({
-        "clean_text": F.when(F.col("_nos").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-        "n_removed": F.when(F.col("_nos").isNull(), 0).otherwise(F.size("_nos")),
-    }).drop("_nos", "_doc")
+    packed = cut(lines_and_chunks(df, names, key, text, source))
+    lines = packed.where("doc_id is not null").select("doc_id", "source", "nos", "keys", "parts", "hashes", "letters")
+
+    def frequent(counts: DataFrame, value: str, part: float = 1.0) -> DataFrame:
+        return cut(counts.groupBy("source", value).agg(F.sum("n").alias("n")).join(least, "source").where(F.col("n") >= F.col("least") * F.lit(part)).select("source", value))
+
+    excessive = frequent(packed.where("doc_id is null").select("source", "chunk", "n"), "chunk")
+
+    def cut_lines(batch: pa.RecordBatch, of: Callable) -> pa.RecordBatch:
+        keys, parts, hashes, letters = (batch.column(k).to_pylist() for k in ("keys", "parts", "hashes", "letters"))
+
+        def chosen(i: int):
+            weight = np.frombuffer(letters[i], dtype=np.uint8).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(np.frombuffer(parts[i], dtype=np.uint32))[:-1]]).astype(np.int64)
+            gone = np.add.reduceat(weight * _among(np.frombuffer(hashes[i], dtype=np.int32), of(i)), first)
+            return np.frombuffer(keys[i], dtype=np.int64)[gone >= CUT_SHARE * np.add.reduceat(weight, first)]
+
+        return _counted_keys(batch, chosen)
+
+    def count_forms(batch: pa.RecordBatch, of: Callable) -> pa.RecordBatch:
+        keys = batch.column("keys").to_pylist()
+
+        def chosen(i: int):
+            own = np.frombuffer(keys[i], dtype=np.int64)
+            return own[_among(own, of(i))]
+
+        return _counted_keys(batch, chosen)
+
+    counts = "source string, line bigint, n bigint"
+    candidates = frequent(_looked_up(lines, excessive, "chunk", "int32", cut_lines, counts), "line", CUT_DOCS)
+    return lines, frequent(_looked_up(lines.select("doc_id", "source", "keys"), candidates, "line", "int64", count_forms, counts), "line")
+
+
+def shared_lines(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source", share: float = LEAST_SHARE, docs: int = LEAST_DOCS) -> DataFrame:
+    """``(doc_id, line_no)``: each occurrence of a shared line; see ``shared_forms``.
+
+    Lines of nothing but signs and filled-in values are none."""
+    import numpy as np
+
+    lines, forms = shared_forms(df, names, key, text, source, share, docs)
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32())])
+
+    def places(batch: pa.RecordBatch, of: Callable) -> pa.RecordBatch:
+        out_doc, out_no = [], []
+        for i, (d, nos, keys) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc_id", "nos", "keys")))):
+            got = np.frombuffer(nos, dtype=np.int32)[_among(np.frombuffer(keys, dtype=np.int64), of(i))].tolist()
+            out_doc += [d] * len(got)
+            out_no += got
+        return pa.RecordBatch.from_pydict({"doc_id": out_doc, "line_no": out_no}, schema=schema)
+
+    return _looked_up(lines.select("doc_id", "source", "nos", "keys"), forms, "line", "int64", places, "doc_id bigint, line_no int")
+
+
+def without_shared_lines(df: DataFrame, forms: DataFrame, names: Gazetteer, text: str = "text", source: str = "source") -> DataFrame:
+    """``df`` with ``clean_text``, the text without its source's shared lines, and ``n_removed``; other columns and rows stay.
+
+    The shared lines go to the texts, not the texts to the lines: a table of few rows goes to
+    every worker; a bigger one is joined by source, spread over ``SALT`` keys."""
+    made: dict = {}
+    got = rows_bound(forms.select("source", "line"), BROADCAST_ROWS)
+    known: dict[str, set[int]] = {}
+    for s, k in got or []:
+        known.setdefault(s, set()).add(k)
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def clean(texts, of):
+        import pandas as pd
+
+        d = made.get("d") or made.setdefault("d", Detector(names))
+        raw = [t if isinstance(t, str) else None for t in texts]
+        lines = Lines(d, fold_all([t or "" for t in raw]))
+        gone: dict[int, set[int]] = {}
+        for i, no, k in zip(lines.doc.tolist(), lines.no.tolist(), lines.keys().tolist()):
+            if k in of(i):
+                gone.setdefault(i, set()).add(no)
+        out = [t if i not in gone else "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone[i]) for i, t in enumerate(raw)]
+        return pd.DataFrame({"clean_text": out, "n_removed": [len(gone.get(i, ())) for i in range(len(out))]})
+
+    if got is not None:
+
+        @F.pandas_udf("struct<clean_text string, n_removed int>")
+        def run(texts, sources):
+            own = [shared.value.get(s, ()) for s in sources]
+            return clean(texts, own.__getitem__)
+
+        marked = df.withColumn("_clean", run(F.col(text), F.coalesce(F.col(source), F.lit(""))))
+    else:
+
+        @F.pandas_udf("struct<clean_text string, n_removed int>")
+        def run_joined(texts, arrays):
+            own = [frozenset(() if a is None else map(int, a)) for a in arrays]
+            return clean(texts, own.__getitem__)
+
+        arrays = forms.groupBy(F.col("source").alias("_source")).agg(F.collect_list("line").alias("_lines")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        place = (F.coalesce(F.col(source), F.lit("")) == F.col("_source")) & (F.pmod(F.xxhash64(text), F.lit(SALT)) == F.col("_salt"))
+        marked = df.join(arrays, place, "left").withColumn("_clean", run_joined(F.col(text), F.col("_lines"))).drop("_source", "_salt", "_lines")
+    return marked.withColumns({"clean_text": F.col("_clean.clean_text"), "n_removed": F.col("_clean.n_removed")}).drop("_clean")

@@ -157,7 +157,7 @@ def test_filters_let_every_value_pass(names):
         assert [(text[a:b], k) for a, b, k in d.find(text)] == [(v, kind)], v
     assert d.find("एक दोन तीन चार पाच सहा लोक") == []
     long = "मजकूर " * 60
-    assert shared_lines.plain_lines(d, long + "9 ऑगस्ट 2020") == shared_lines.plain_lines(d, long + "14 मार्च 2021")
+    assert letters_of(d, long + "9 ऑगस्ट 2020") == letters_of(d, long + "14 मार्च 2021")
 
 
 def test_surrogates_replace_every_value(names):
@@ -178,7 +178,7 @@ def test_surrogates_replace_every_value(names):
 # ---------------------------------------------------------------- shared lines
 
 
-def test_shared_lines_equal_brute_force(spark, names):
+def test_shared_lines_equal_brute_force(spark, names, monkeypatch):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     frames = ["Copyright {} Gramavedh. No copying.", "Updated {} by the desk of this paper today", "By Nayanika Moravande, {}", "rare line of three documents only"]
@@ -197,21 +197,47 @@ def test_shared_lines_equal_brute_force(spark, names):
     total, held = {}, {}
     for i, s, t in rows:
         total[s] = total.get(s, 0) + 1
-        for no, k in enumerate(shared_lines.plain_lines(d, chars.fold(t or ""))):
+        for no, k in enumerate(letters_of(d, t)):
             if k:
                 held.setdefault((s, k), []).append((i, no))
     want = {x for (s, _), at in held.items() if len({i for i, _ in at}) >= max(3, total[s] * 0.1) for x in at}
     assert got == want and want
-    clean = shared_lines.without_shared_lines(df, spark.createDataFrame(sorted(got), "doc_id bigint, line_no int"))
-    assert clean.count() == 80 and clean.where("n_removed > 0").count() == len({i for i, _ in got})
+    forms = shared_lines.shared_forms(df, names)[1]
+    for bound in (shared_lines.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(shared_lines, "BROADCAST_ROWS", bound)
+        assert {tuple(x) for x in shared_lines.shared_lines(df, names).collect()} == want
+        clean = {r["doc_id"]: r for r in shared_lines.without_shared_lines(df, forms, names).collect()}
+        assert len(clean) == 80
+        for i, _, t in rows:
+            kept = None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in want)
+            assert clean[i]["clean_text"] == kept and clean[i]["n_removed"] == sum(x == i for x, _ in want)
+    assert shared_lines.shared_lines(df.limit(0), names).count() == 0
 
 
-def test_chunks_of_a_line_do_not_depend_on_its_place():
-    line = "thisisonelineofletterswithoutspacesanditislong" * 2
-    alone = shared_lines.chunk_hashes([[line]])[0][0]
-    for before in ("abc", "qwertyuiop" * 3):
-        there = shared_lines.chunk_hashes([["x"], [before, line, "tail"]])[1][1]
-        assert set(there) == set(alone) and there
+def letters_of(d, text):
+    return [re.sub(r"(?:[^\wऀ-෿\n]|[\d_])+", "", x) for x in shared_lines.without_values(d, chars.fold(text or "")).split("\n")]
+
+
+def test_chunks_of_a_line_do_not_depend_on_its_place(names):
+    """But for the first and the last, which lie partly in other lines; line numbers and letters are right."""
+    d = pii.Detector(names)
+    line = "This is one line of letters without figures and it is long" * 2
+    alone = shared_lines.Lines(d, [line])
+    own = {h for _, h, _ in list(zip(*alone.chunks()))[1:-1]}
+    there = shared_lines.Lines(d, ["x", "", f"qwerty 12\n\n{line}\ntail\n--\n", line])
+    at, hashes, letters = there.chunks()
+    place = [(int(a), int(b)) for a, b in zip(there.doc, there.no)]
+    assert place == [(0, 0), (2, 0), (2, 2), (2, 3), (3, 0)] and own
+    for k in (2, 4):
+        assert own <= set(hashes[at == k].tolist()) and there.keys()[k] == alone.keys()[0]
+    assert [int(letters[at == k].sum()) for k in range(5)] == there.size.tolist()
+
+
+def test_the_cut_chunks_decide(spark, names, monkeypatch):
+    df = spark.createDataFrame([(i, "s", f"own {'abcdefgh'[i % 8] * 3}\none shared line of text here") for i in range(12)], "doc_id bigint, source string, text string")
+    assert {tuple(x) for x in shared_lines.shared_lines(df, names).collect()} == {(i, 1) for i in range(12)}
+    monkeypatch.setattr(shared_lines, "CUT_SHARE", 1.1)
+    assert shared_lines.shared_lines(df, names).count() == 0
 
 
 # ----------------------------------------------------------------------- pairs
