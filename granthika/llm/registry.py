@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with typed placeholders, and the number of values by kind."""
+    """Every document with typed placeholders, and the number of values by kind.
+
+    The key of the surrogates is the setting ``spark.granthika.redaction.key``; without it a key of
+    this call only is drawn, so that marks can't be traced, nor compared with another call's."""
     df = docs(spark, sf_dir)
-    out = pii.redact_documents(df.select("doc_id", "text"), pii.fit_gazetteer(df)).drop("text")
+    secret = spark.conf.get("spark.granthika.redaction.key", None) or secrets.token_hex(32)
+    out = pii.redact_documents(df.select("doc_id", "text"), pii.fit_gazetteer(df), secret).drop("text")
     return out.withColumn("pii_counts", F.to_json("pii_counts"))
 
 

@@ -44,7 +44,8 @@ MONTHS = (
     "jan feb mar apr jun jul aug sep sept oct nov dec am pm "
     "જાન્યુઆરી ફેબ્રુઆરી માર્ચ એપ્રિલ મે જૂન જુલાઈ ઑગસ્ટ ઓગસ્ટ સપ્ટેમ્બર ઑક્ટોબર ઓક્ટોબર નવેમ્બર ડિસેમ્બર"
 ).split()
-_MONTH = re.compile(r"(?<![\wऀ-૿])(?:" + "|".join(sorted(set(MONTHS), key=len, reverse=True)) + r")(?![\wऀ-૿])")
+_MONTH = re.compile("(?:" + "|".join(sorted(set(MONTHS), key=len, reverse=True)) + r")(?![\wऀ-૿])")
+_IN_WORD = re.compile(r"[\wऀ-૿]")
 _DATED = re.compile(r"\d")
 
 #: What one batch of documents becomes: a row of packed arrays a document, and a row a source and chunk.
@@ -61,6 +62,11 @@ def _letters():
     return keep
 
 
+def _month(m: re.Match) -> str:
+    """A blank for a month, but what it is if letters stand before it."""
+    return m[0] if m.start() and _IN_WORD.match(m.string, m.start() - 1) else " "
+
+
 def without_values(d: Detector, text: str) -> str:
     """A folded text in lower case without what may be filled in; its line ends stay."""
     spans = d.structured(text)
@@ -73,7 +79,7 @@ def without_values(d: Detector, text: str) -> str:
         text = "".join(out) + text[at:]
     text = text.lower()
     if _DATED.search(text):
-        text = "\n".join(_MONTH.sub(" ", x) if _DATED.search(x) else x for x in text.split("\n"))
+        text = "\n".join(_MONTH.sub(_month, x) if _DATED.search(x) else x for x in text.split("\n"))
     return text.replace("\0", " ")
 
 

@@ -117,12 +117,12 @@ def test_kinds_of_personal_data(names):
 def test_redaction_keeps_the_rest_and_is_consistent(names):
     d, s = pii.Detector(names), pii.Surrogates(names, "k")
     raw = "अ​आ  सारंग रानवटे, फोन ९००२७८१८३२\r\nपुन्हा सारंग रानवटे"
-    out, n = pii.redact(d, s, raw)
+    out, n, _ = pii.redact(d, s, raw)
     marks = re.findall(r"\[(\w+):([^\]]*)#(\w+)\]", out)
     assert n == {"name": 2, "phone": 1} and marks[0] == marks[2] and marks[1][0] == "PHONE"
     assert re.sub(r"\[[^\]]*\]", "*", out) == "अ​आ  *, फोन *\r\nपुन्हा *"
     assert all("०" <= c <= "९" for c in marks[1][1]) and "९००२७८१८३२" not in out
-    assert pii.redact(d, s, "कुणी नाही") == ("कुणी नाही", {})
+    assert pii.redact(d, s, "कुणी नाही") == ("कुणी नाही", {}, [])
 
 
 def test_pii_lines_of_odd_rows(spark, names):
@@ -160,6 +160,26 @@ def test_filters_let_every_value_pass(names):
     assert letters_of(d, long + "9 ऑगस्ट 2020") == letters_of(d, long + "14 मार्च 2021")
 
 
+def test_tags_keep_values_apart(spark, names, monkeypatch):
+    """Tags of two digits collide among 600 numbers; longer ones are taken then, and equal values keep equal marks."""
+    rows = [(i, f"फोन 90027{i % 600:05d}") for i in range(1200)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(pii, "TAG_SIZES", (2, 24))
+    assert pii.contested_tags(df, names, "k", 2).count() > 0 and pii.contested_tags(df, names, "k", 24).isEmpty()
+    got = {r["doc_id"]: r["redacted"] for r in pii.redact_documents(df, names, "k").collect()}
+    assert len({got[i] for i in range(600)}) == 600 and all(got[i] == got[i + 600] for i in range(600)) and got[2000] is None
+    with pytest.raises(ValueError):
+        pii.redact_documents(df, names, "")
+
+
+def test_surrogates_keep_the_format(names):
+    s = pii.Surrogates(names, "k")
+    for kind, value in [("phone", "+91 98765 43210"), ("phone", "९००२७८१८३२"), ("phone", "(0292) 2476358"), ("phone", "(+91) 6002 732 525"), ("id_number", "1234 5678 9012"), ("id_number", "ABCDE1234F"), ("email", "asmin [at] mail [dot] example"), ("email", "a.b+c@x.co.in")]:
+        new = s.surrogate(kind, value)
+        found = pii.Detector(names).find(f"पहा: {new} असे")
+        assert new != value and [(f"पहा: {new} असे"[a:b], k) for a, b, k in found] == [(new, kind)], new
+
+
 def test_surrogates_replace_every_value(names):
     for s in (pii.Surrogates(names, "k"), pii.Surrogates(pii.Gazetteer(set(), set()), "k")):
         for value in ("सदनिका 117, वाकणेखेड अपार्टमेंट, शाळेजवळ, कुरणेकोट 417 826", "94/अ, जुनी पेठ, मु. पो. शेलणेसरे, पिन 570872", "ઘર નં. 12, રામપુર ગલી, વડનગર", "घर क्र. ५, मळगाव", "घर क्र. ५, \u200b\u200dमळ\u200dगाव"):
