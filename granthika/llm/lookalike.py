@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .chars import Rewriter, equalities, rewriting
 from .common import by_batch, cut
 
+#: Members of a class that meet the whole class in one task.
+BLOCK = 2_000
+
 
 def character_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(piece string, n bigint)``: how often each member of a look-alike class occurs, over all rows.
@@ -81,17 +84,31 @@ def look_alike_keys(df: DataFrame, mapping: dict[str, str], key: str = "doc_id",
     return by_batch(df.select(F.col(key).cast("bigint"), text), hashes, "key bigint, same binary, raw binary")
 
 
-def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", mapping: dict[str, str] | None = None) -> DataFrame:
+def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", mapping: dict[str, str] | None = None) -> DataFrame:
+    """``(doc_id, class_id, forms, links)``: a row per document with text, its class of equal looking texts, how many different strings the class has, and with how many documents of another string it shares it.
+
+    ``class_id`` is the class's least document.  Strings are merged map-side before they are
+    counted, so a class that is a third of all rows costs one row a string."""
+    mapping = learn_rewriting(df, text) if mapping is None else mapping
+    keys = cut(look_alike_keys(df, mapping, key, text))
+    forms = keys.groupBy("same", "raw").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    classes = forms.groupBy("same").agg(F.min("least").alias("class_id"), F.count("*").alias("forms"), F.sum("n").alias("docs"))
+    sized = forms.join(classes, "same").select("same", "raw", "class_id", "forms", (F.col("docs") - F.col("n")).alias("links"))
+    return keys.join(sized, ["same", "raw"]).select(F.col("key").alias("doc_id"), "class_id", "forms", "links")
+
+
+def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", mapping: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """``(doc_id_a, doc_id_b)``, a < b: texts that read the same but are different strings.
 
-    Equal strings give no pair.  Only classes with two or more different strings are paired,
-    and only across those strings, so a hot group of exact copies costs nothing by itself."""
+    Equal strings give no pair.  Only classes with two or more different strings are paired, and
+    only across those strings, so a hot group of exact copies costs nothing by itself.  Members
+    of a class are met in blocks of about ``block`` against all, so no class makes one task."""
     mapping = learn_rewriting(df, text) if mapping is None else mapping
     keys = cut(look_alike_keys(df, mapping, key, text))
     forms = keys.groupBy("same", "raw").agg(F.count("*").alias("n"))
-    several = forms.groupBy("same").agg(F.count("*").alias("forms")).where("forms > 1").select("same")
-    rows = keys.join(several, "same", "left_semi")
-    a = rows.select("same", F.col("raw").alias("raw_a"), F.col("key").alias("doc_id_a"))
-    b = rows.select("same", F.col("raw").alias("raw_b"), F.col("key").alias("doc_id_b"))
-    pairs = a.join(b, "same").where("raw_a <> raw_b and doc_id_a < doc_id_b")
+    several = forms.groupBy("same").agg(F.count("*").alias("forms"), F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")).where("forms > 1").select("same", "blocks")
+    rows = keys.join(several, "same")
+    a = rows.select("same", F.col("raw").alias("raw_a"), F.col("key").alias("doc_id_a"), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    b = rows.select("same", F.col("raw").alias("raw_b"), F.col("key").alias("doc_id_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = a.join(b, ["same", "block"]).where("raw_a <> raw_b and doc_id_a < doc_id_b")
     return pairs.select("doc_id_a", "doc_id_b").distinct()

@@ -91,7 +91,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture, a row per use of a document."""
+    """The mixture, a row per part of a document in a slot."""
     pieces = tokens.read_pieces(docs(spark, sf_dir, "tok_pieces"))
     counted = tokens.with_token_counts(docs(spark, sf_dir).select("doc_id", "source", "text"), pieces)
     return mixture.mix(counted, docs(spark, sf_dir, "source_targets"))
@@ -106,6 +106,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(docs(spark, sf_dir))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal looking texts, and its links to different strings in it."""
+    return lookalike.look_alike_classes(docs(spark, sf_dir))
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its one form."""
     df = docs(spark, sf_dir)
