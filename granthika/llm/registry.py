@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, leakage, lookalike, mixture, pairs, pii, prose, shared_lines, tokens
-from .common import docs
+from .common import docs, rows_bound
 
 
 def _word_model(spark: SparkSession, sf_dir: str) -> language.WordModel:
@@ -28,8 +28,11 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    rows = docs(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().orderBy("word").limit(5_000)
-    return [r[0] for r in rows.collect()]
+    """The common words of all languages; more than 100,000 are no list of common words, and raise an error."""
+    rows = rows_bound(docs(spark, sf_dir, "common_words").where("word is not null").select("word").distinct(), 100_000)
+    if rows is None:
+        raise ValueError("more than 100,000 common words")
+    return sorted(r[0] for r in rows)
 
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

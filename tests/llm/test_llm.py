@@ -372,17 +372,28 @@ def test_randomised_svd_finds_the_leading_space(spark):
 # ----------------------------------------------------------------------- prose
 
 
+COMMON = ["the", "and", "of", "आणि", "आहे", "है", "की", "in", "that", "is"]
+
+
 def test_rules_hold_on_documents_made_apart(spark):
-    common = ["the", "and", "of", "आणि", "आहे", "है", "की", "in", "that", "is"]
-    rules, stats = prose.learn_rules(spark, spark.createDataFrame([(t,) for t in MR + HI + EN], "text string"), common, n=1500)
+    rules, stats = prose.learn_rules(spark, spark.createDataFrame([(t,) for t in MR + HI + EN], "text string"), COMMON, n=1500)
     made = prose.labelled_documents(MR + HI + EN, 400, seed=99)
     df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(made)] + [(1000, "none", None), (1001, "none", " ")], "doc_id int, truth string, text string")
-    got = prose.label_kinds(df, rules, stats, common).select("truth", "kind").collect()
+    got = prose.label_kinds(df, rules, stats, COMMON).select("truth", "kind").collect()
     right = sum(r.truth == r.kind for r in got if r.truth != "none")
     assert right >= 0.85 * len(made)
     assert all(r.kind is None for r in got if r.truth == "none")
 
 
+def test_rules_hold_on_forms_they_were_not_learned_from(spark):
+    """Programs, records, codes and wrong decodings of kinds left out of the training documents."""
+    held = frozenset({"junk:indented", "junk:queries", "junk:log", "junk:ascii85", "junk:cp850", "list:number", "table:semicolon"})
+    rules, stats = prose.learn_rules(spark, spark.createDataFrame([(t,) for t in MR + HI + EN], "text string"), COMMON, n=1500, without=held)
+    made = prose.labelled_documents(MR + HI + EN, 400, seed=5, only=held)
+    got = prose.label_kinds(spark.createDataFrame(made, "truth string, text string"), rules, stats, COMMON).select("truth", "kind").collect()
+    assert sum(r.kind != "prose" for r in got) >= 0.9 * len(got)
+
+
 # ------------------------------------------------------------ tokens, mixture
 
 
