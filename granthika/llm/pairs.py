@@ -1,8 +1,8 @@
 """Broken prompt and response pairs (problem 3).
 
 Prompt and response are aligned by word shingles and longest common subsequence: a response
-that is nothing but its prompt is a copy.  Refusals are found by aligning the response with
-refusal templates.  The remaining defects: no answer content, an end within a sentence, word
+that is nothing but its prompt is a copy.  Refusals are found by aligning the sentences of the
+response with refusal templates over the roles of words.  The remaining defects: no answer content, an end within a sentence, word
 or list, and another language than the prompt's that was not asked for.
 """
 
@@ -25,8 +25,8 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "other_lang")
 LEAST_ENDS, LEAST_ITEMS, END_SHARE = 5, 2, 0.6
 #: Share of the response's shingles that the prompt holds, and of the prompt that the response gives back, in a copy.
 COPY_RESPONSE, COPY_PROMPT = 0.75, 0.6
-#: Share of a template's words that a refusal holds in order.
-REFUSAL_SHARE = 0.8
+#: Share of a sentence's words that have a role in refusals, and the most words of one.
+REFUSAL_SHARE, REFUSAL_WORDS = 0.7, 24
 
 # Answers that say there is none, and labels before an answer.
 NO_ANSWER = {
@@ -34,16 +34,29 @@ NO_ANSWER = {
     "जवाब", "कोई उत्तर नहीं", "जवाब नहीं", "उत्तर छैन", "જવાબ", "જવાબ નથી", "ઉત્તર", "लागू नाही", "माहिती नाही",
 }
 
-# What refusals say, in the languages of the project.
+# What the words of refusals do, in the languages of the project: the one who speaks, being able, not, helping or
+# telling, what was asked for, having or knowing, declining, fit and unfit, and excuses.
+ROLES = {
+    "self": "i we i'm my me our us मी आम्ही मला आम्हाला माझ्याकडे आमच्याकडे माझ्यासाठी मजकडे मैं हम मुझे हमें मेरे हमारे मेरी मुझसे हमसे હું અમે મને અમને મારા મારી મારાથી અમારાથી म हामी मलाई हामीलाई मसँग हामीसँग मैले",
+    "able": "can able unable cannot can't could couldn't possible impossible शकत शकतो शकते शकणार शक्य अशक्य येणार येत सकता सकती सकते सकूँगा सकूँगी सकेंगे संभव सम्भव असंभव पाऊँगा पाऊँगी શકતો શકતી શકું શકીશ શકતા શક્ય અશક્ય सक्दिनँ सक्दिन सक्दैन सक्दैनौं सक्नेछैन सम्भव असम्भव",
+    "not": "not no cannot can't couldn't don't won't didn't doesn't unable impossible नाही नाहीत नको असमर्थ अशक्य नहीं नही न असंभव નથી નહીં નહિ અસમર્થ અશક્ય छैन छैनन् होइन सक्दिनँ सक्दिन सक्दैन सक्दैनौं गर्दिनँ दिन्नँ असम्भव",
+    "will": "will won't would going work do works काम करत करणार करता करती करते करूँगा કરતો કરતી કરીશ गर्दिनँ गर्छु",
+    "help": "answer answers answering helping assisting providing writing sharing discussing responding respond reply help assist assistance provide write share discuss talk comply fulfil fulfill complete support create generate offer give say tell explain do उत्तर उत्तरे मदत सहाय्य माहिती देऊ देता देणे करू करता करणे सांगू सांगता देण्यास करण्यास सांगण्यास लिहिण्यास लिहू लिहून लिहिणे पूर्ण चर्चा जवाब मदद सहायता जानकारी दे देना देने कर करना करने बता बताना लिख लिखना लिखकर पूरा चर्चा कह मददગાર મદદ જવાબ માહિતી આપી આપવી આપવો કરી કરવી કહી લખી લખવું પૂરી ચર્ચા उत्तर जवाफ मद्दत सहयोग जानकारी दिन गर्न भन्न लेख्न पूरा",
+    "asked": "this that it these those something anything request requests question questions topic kind type such या हा ही हे अशा असे त्या यात याबाबत याविषयी विनंती विनंतीवर विनंत्या प्रश्न प्रश्नाचे प्रश्नाला विषयावर इस इसका इसमें ऐसे ऐसी यह सवाल सवालों प्रश्न अनुरोध बारे विषय આ આનો આમાં આવી આવા વિનંતી પ્રશ્ન પ્રશ્નનો વિષય यो यस यसमा यस्तो यसको प्रश्न प्रश्नको अनुरोध विषयमा",
+    "known": "have access information know knowledge data available माहिती उपलब्ध माहीत ठाऊक जानकारी पता मालूम उपलब्ध માહિતી જાણકારી ખબર ઉપલબ્ધ जानकारी थाहा उपलब्ध",
+    "decline": "decline refuse declining refusing नकार अस्वीकार इनकार इन्कार मना ઇનકાર ना અસ્વીકાર अस्वीकार",
+    "fit": "comfortable appropriate right allowed permitted uncomfortable inappropriate योग्य उचित परवानगी ठीक उचित अनुमति સહી યોગ્ય ઉચિત પરવાનગી उचित ठीक अनुमति",
+    "sorry": "sorry apologise apologize apologies unfortunately afraid regret माफ क्षमस्व क्षमा खेद दिलगीर माफ़ माफी माफ़ी दुर्भाग्य માફ દિલગીર ક્ષમા ખેદ माफ क्षमा",
+    "plain": "as an assistant ai but and so must am be is are the a to with of for in on about at your you who language model एक म्हणून सहायक आणि पण त्यामुळे करा आहे देणे वाटत वाटते काही आता देखील तरी है हूँ हैं का की के को में से पर और इसलिए कुछ लेकिन मॉडल कीजिए करें लगता देकर हे કે છે પણ માટે કરજો કરો માં નો ની ને એક गर्नुहोस् हुनुहोस् छ तर को लाई मा",
+}
+# What a refusal says, as roles in order; a slash parts roles either of which will do.
 REFUSALS = [
-    "मी या प्रश्नाचे उत्तर देऊ शकत नाही", "मला या प्रश्नाचे उत्तर देता येणार नाही", "याबाबत मदत करणे मला शक्य नाही", "मी यात मदत करू शकत नाही",
-    "ही माहिती माझ्याकडे उपलब्ध नाही त्यामुळे मी काही सांगू शकणार नाही", "अशा विनंतीवर मी काम करत नाही", "हे लिहून देणे मला योग्य वाटत नाही",
-    "ही विनंती मी पूर्ण करू शकत नाही", "मैं इस सवाल का जवाब नहीं दे सकता", "मैं इस प्रश्न का उत्तर नहीं दे सकता", "मैं इसमें मदद नहीं कर सकता", "इस बारे में मदद करना मेरे लिए संभव नहीं है",
-    "मेरे पास यह जानकारी नहीं है इसलिए कुछ नहीं कह सकता", "ऐसे अनुरोध पर मैं काम नहीं करता", "यह लिखकर देना मुझे ठीक नहीं लगता", "मैं यह अनुरोध पूरा नहीं कर सकता",
-    "I am not able to answer that", "I cannot answer that question", "I cannot help with that", "I can't help with this request", "I'm unable to help with that request",
-    "I don't have access to this information and must decline", "I won't be able to write that", "I do not feel comfortable writing this", "I must decline this request", "I don't work on requests like this", "this is something I won't write", "this is something I cannot do",
-    "હું આ પ્રશ્નનો જવાબ આપી શકતો નથી", "આમાં મદદ કરવી મારા માટે શક્ય નથી", "मारी पासे आ माहिती नथी", "મારી પાસે આ માહિતી નથી", "म यो प्रश्नको उत्तर दिन सक्दिनँ", "म यसमा मद्दत गर्न सक्दिनँ", "मसँग यो जानकारी छैन",
-]
+    "self able not help", "self not able help", "self help able not", "help self able not", "asked self help able not", "self asked help able not",
+    "self not help asked", "self not will asked", "asked self will not", "asked self not will", "self asked will not", "asked self not help", "help able not self", "asked help able not",
+    "self help not able", "help self not able", "not asked self able help", "self not known help/decline", "known self not able", "self known not help/able", "asked known self not",
+    "self decline", "self help decline", "self not fit help", "help self fit not", "asked help self fit not", "self asked help fit not", "asked self not help", "sorry self able not", "sorry not able help", "sorry asked help able not",
+]
+
 
 # Names of languages, by which a prompt asks for one, and words for translating.
 LANGUAGE_NAMES = {
@@ -68,6 +81,23 @@ def words_of(text: str) -> list[str]:
     return _SIGNS.sub(" ", text.lower()).split()
 
 
+_APOSTROPHES = re.compile(r"(?<=[a-z])[’'](?=[a-z])")
+
+
+def spoken_words(text: str) -> list[str]:
+    """Words of a sentence, contractions whole."""
+    return _SIGNS.sub(" ", _APOSTROPHES.sub("\0", text.lower()).replace("\0", "ʼ")).replace("ʼ", "'").split()
+
+
+_QUOTED = re.compile(r"‘[^‘’\n]*’|“[^“”\n]*”|\"[^\"\n]*\"")
+
+
+def without_quotes(text: str) -> str:
+    """A text without what it quotes, or as it is if it does nothing but quote."""
+    own = _QUOTED.sub(" ", text) if _QUOTED.search(text) else text
+    return own if len(own.split()) > 1 else text
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     where: dict[str, int] = {}
@@ -100,21 +130,41 @@ def is_copy(prompt: list[str], response: list[str]) -> bool:
 
 
 class Refusals:
-    """Alignment with refusal templates."""
+    """Alignment with refusal templates, which name the roles of words and not the words.
+
+    A sentence refuses if nearly all of its words have a role in refusals and a template is a
+    subsequence of their roles; a word may have several."""
 
     def __init__(self, templates: list[str] = REFUSALS, share: float = REFUSAL_SHARE):
-        self.templates = [words_of(t) for t in templates]
+        self.roles: dict[str, frozenset[str]] = {}
+        for role, words in ROLES.items():
+            for w in words.split():
+                self.roles[w] = self.roles.get(w, frozenset()) | {role}
+        self.templates = [[frozenset(r.split("/")) for r in t.split()] for t in templates]
         self.share = share
+        self.denies = frozenset(w for role in ("not", "decline") for w in ROLES[role].split())
 
     def __call__(self, sentences: list[list[str]]) -> bool:
         for s in sentences:
-            have = set(s)
-            for t in self.templates:
-                need = self.share * len(t)
-                if sum(w in have for w in t) >= need and lcs(t, s) >= need and len(s) <= 2.5 * len(t) + 4:
-                    return True
+            if len(s) > REFUSAL_WORDS or self.denies.isdisjoint(s):
+                continue
+            roles = [self.roles[w] for w in s if w in self.roles]
+            if len(roles) >= self.share * len(s) and any(self.follows(t, roles) for t in self.templates):
+                return True
         return False
 
+    @staticmethod
+    def follows(template: list[frozenset[str]], roles: list[frozenset[str]]) -> bool:
+        """Whether the template is a common subsequence as long as itself; words that deny and enable at once fill both places."""
+        at = 0
+        for have in roles:
+            steps = 0
+            while at < len(template) and template[at] & have and steps < 2:
+                if steps and not (template[at] | template[at - 1]) <= {"able", "not", "will", "decline"}:
+                    break
+                at, steps = at + 1, steps + 1
+        return at == len(template)
+
 
 def last_words(df: DataFrame, response: str = "response") -> dict[str, set[str]]:
     """Words that end sentences and items of lists, learned from all responses; only those known reach the driver."""
@@ -196,7 +246,7 @@ def pair_defects(df: DataFrame, model: WordModel, known: dict[str, set[str]], ke
                 continue
             asked_words = words_of(p)
             copy = is_copy(asked_words, said)
-            refusal = refused([words_of(s) for s in re.split(r"[.।?!\n]+", a) if s.strip()])
+            refusal = refused([spoken_words(s) for s in re.split(r"[.।?!\n]+", without_quotes(a)) if s.strip()])
             if refusal:
                 out.append((i, "refusal"))
             if copy:

@@ -293,6 +293,22 @@ def test_ends_are_learned_from_all_responses(spark):
     assert pairs.Refusals()([pairs.words_of(x) for x in answer]) and not pairs.Refusals()([pairs.words_of(x) for x in answer[:4]])
 
 
+def test_refusals_the_templates_were_not_made_from():
+    """Written before the templates were tried on them; at least nine in ten are found, and no sound sentence."""
+    refused = [
+        "Sorry, I can't assist with that", "I can’t help you with this", "I'm unable to provide that information", "I won't be able to write this for you", "We cannot respond to such requests", "I must refuse this request",
+        "I am afraid I cannot discuss that topic", "I'm not allowed to share this information", "माफ करा, मी यात मदत करू शकत नाही", "मला याचे उत्तर देता येत नाही", "या विषयावर मी चर्चा करू शकत नाही", "मी हे सांगू शकत नाही",
+        "माफ़ कीजिए, मैं इसमें मदद नहीं कर सकता", "मैं इस विषय पर चर्चा नहीं कर सकती", "यह अनुरोध मैं पूरा नहीं कर सकता", "માફ કરજો, હું આમાં મદદ કરી શકતો નથી", "હું આ પ્રશ્નનો જવાબ આપી શકતી નથી", "म यसमा मद्दत गर्न सक्दिनँ", "मसँग यो जानकारी छैन, म भन्न सक्दिनँ",
+        "I could not possibly comment on that", "That request is against my guidelines", "आम्हाला याविषयी माहिती देता येणार नाही",
+    ]
+    sound = [
+        "I cannot swim across the wide river near the village", "The farmers do not work on Sundays because the market is closed", "माझ्या गावात पाणी नाही म्हणून मी विहिरीवर जातो", "मी रोज सकाळी शाळेत जात नाही", "वह किताब यहाँ नहीं मिल सकती क्योंकि पुस्तकालय बंद है",
+        "It is not possible to grow rice here without rain", "He said that he could not come", "होय, मी हे करू शकतो", "No, that is not right; the answer is four", "“I cannot help you”, said the old man to the king of the valley", "લોકો અહીં રોજ કામ કરે છે",
+    ]
+    said = lambda t: pairs.Refusals()([pairs.spoken_words(s) for s in re.split(r"[.।?!\n]+", pairs.without_quotes(chars.fold(t))) if s.strip()])
+    assert sum(map(said, refused)) >= 0.9 * len(refused) and not any(map(said, sound))
+
+
 def test_lcs_equals_the_table():
     r = random.Random(5)
     for _ in range(100):
