@@ -17,12 +17,15 @@ def docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from the shared folder from here on.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a local one is set."""
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    master local, as in tests, a local one is set.  On a cluster it must be set."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or FALLBACK_CHECKPOINT)
     return df.checkpoint()
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, rows_bound
 from .language import Decoder, WordModel
 
 #: Documents tokenised to fit, and as many held out to correct the bias, at most.
@@ -69,9 +69,12 @@ class PieceTokenizer:
         return total
 
 
-def read_pieces(df: DataFrame, most: int = 1_000_000) -> list[tuple[str, str, float]]:
-    """The tokenizer's table ``(piece, kind, score)``; its size is the vocabulary's."""
-    return [tuple(r) for r in df.where("piece is not null").select("piece", "kind", "score").orderBy("token_id").limit(most).collect()]
+def read_pieces(df: DataFrame, most: int = 2_000_000) -> list[tuple[str, str, float]]:
+    """The tokenizer's table ``(piece, kind, score)``; a table of more than ``most`` rows is no vocabulary and raises an error."""
+    rows = rows_bound(df.where("piece is not null").select("piece", "kind", "score", "token_id"), most)
+    if rows is None:
+        raise ValueError(f"more than {most} pieces")
+    return [tuple(r)[:3] for r in sorted(rows, key=lambda r: r["token_id"])]
 
 
 def with_token_counts(df: DataFrame, pieces: list[tuple[str, str, float]], text: str = "text", out: str = "tokens") -> DataFrame:
@@ -93,7 +96,10 @@ FEATURES = {
     "words": lambda t: F.size(F.filter(F.split(t, "\\s+"), lambda w: w != "")).cast("double"),
     "digits": lambda t: F.regexp_count(t, F.lit("[0-9\\u0966-\\u096f\\u0ae6-\\u0aef]")).cast("double"),
     "signs": lambda t: F.regexp_count(t, F.lit("[\\u0021-\\u002f\\u003a-\\u0040\\u005b-\\u0060\\u007b-\\u007e\\u0964\\u2010-\\u2027]")).cast("double"),
-    "latin": lambda t: F.regexp_count(t, F.lit("[A-Za-z]++")).cast("double"),
+    "latin": lambda t: F.regexp_count(t, F.lit("[A-Za-z]")).cast("double"),
+    "latin_words": lambda t: F.regexp_count(t, F.lit("[A-Za-z]++")).cast("double"),
+    "devanagari": lambda t: F.regexp_count(t, F.lit("[\\u0900-\\u0965\\u0970-\\u097f]")).cast("double"),
+    "gujarati": lambda t: F.regexp_count(t, F.lit("[\\u0a80-\\u0ae5\\u0af0-\\u0aff]")).cast("double"),
     "other_letters": lambda t: F.regexp_count(t, F.lit("[^\\u0000-\\u007f\\u0900-\\u097f\\u0a80-\\u0aff]")).cast("double"),
 }
 
@@ -170,7 +176,7 @@ def estimate_tokens(df: DataFrame, pieces: list[tuple[str, str, float]], model:
     share = min(1.0, 2 * docs / n)
     bucket = F.pmod(F.xxhash64(F.col(key), F.lit("tokens")), F.lit(1_000_000))
     sampled = df.where((bucket < int(1_000_000 * share)) & F.col("text").rlike("\\S")).select(key, "text", "source", (F.pmod(bucket, F.lit(2)) == 0).alias("_fit"))
-    rows = _with_language(sampled, model, ["source", "_fit"], pieces).limit(4 * docs).collect()
+    rows = _with_language(sampled, model, ["source", "_fit"], pieces).collect()
     names = [f"_f_{k}" for k in FEATURES]
     coefficients = fit([(r["lang"], [r[c] for c in names], r["exact"]) for r in rows if r["_fit"]])
     by_lang, by_source = _bias([r for r in rows if not r["_fit"]], coefficients, names)
@@ -179,9 +185,10 @@ def estimate_tokens(df: DataFrame, pieces: list[tuple[str, str, float]], model:
     for lang, f in by_lang.items():
         if lang:
             factor = F.when(F.col("lang") == lang, F.lit(f)).otherwise(factor)
-    if by_source:
-        table = F.create_map(*[F.lit(x) for pair in by_source.items() for x in pair])
-        factor = factor * F.coalesce(F.element_at(table, F.coalesce("source", F.lit(""))), F.lit(1.0))
+    if by_source:  # at most a row a tokenised holdout document
+        table = df.sparkSession.createDataFrame(list(by_source.items()), "_source string, _own double")
+        all_rows = all_rows.join(F.broadcast(table), F.coalesce("source", F.lit("")) == F.col("_source"), "left")
+        factor = factor * F.coalesce("_own", F.lit(1.0))
     return all_rows.select(key, *keep, "lang", F.round(F.col("_raw") * factor).cast("bigint").alias("est_tokens"))
 
 
