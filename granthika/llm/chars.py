@@ -49,22 +49,23 @@ JOINERS = "‌‍"
 
 
 def invisible(c: str) -> bool:
-    """Format characters and others that leave no mark on the page."""
-    return unicodedata.category(c) == "Cf" and not 0x600 <= ord(c) <= 0x8FF or c in "͏ᅟᅠ឴឵"
+    """Format characters, variation selectors, fillers and others that leave no mark on the page."""
+    cp = ord(c)
+    return unicodedata.category(c) == "Cf" and not 0x600 <= cp <= 0x8FF or c in "͏ᅟᅠ឴឵ㅤﾠ" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or 0x180B <= cp <= 0x180F
 
 
 @lru_cache(maxsize=1)
 def equalities() -> list[tuple[str, str]]:
     """Pairs of strings that look the same, from the character database and the lists above."""
     pairs = [*LOOK_ALIKE_LETTERS.items(), *LOOK_ALIKE_SEQUENCES]
-    for cp in range(0x80, 0x10000):
-        if 0xD800 <= cp < 0xF900 or 0x3400 <= cp < 0xD7A4:
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp < 0xF900 or 0x3400 <= cp < 0xD7A4 or 0x1F000 <= cp < 0xE0000 or cp >= 0xE0200:  # surrogates, ideographs, pictures, private use
             continue
         c = chr(cp)
         kind, _, rest = unicodedata.decomposition(c).partition(" ")
         if kind in ("<wide>", "<narrow>", "<noBreak>") and " " not in (plain := unicodedata.normalize("NFKC", c)):
             pairs.append((c, plain))
-        if unicodedata.category(c) == "Zs":
+        if unicodedata.category(c) == "Zs" or cp == 0x2800:  # the braille pattern without dots is a blank
             pairs.append((c, " "))
         elif invisible(c):
             pairs.append((c, ""))
@@ -135,7 +136,7 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        for _ in range(4):  # a rewriting may complete a longer sequence
+        for _ in range(len(text) + 1):  # a rewriting may complete a longer sequence; each shortens the text or settles it
             if not self.touched(text):
                 return text
             out, at = [], 0
@@ -192,7 +193,7 @@ def _flags():
             flags[cp] = 1
         if unicodedata.combining(c) and c not in VIRAMAS:
             flags[cp] |= 1
-    flags[0x10000:0x20000] |= 1
+    flags[0x10000:] |= 1
     for s in r.longer:
         flags[ord(s[0])] |= 2
         flags[ord(s[-1])] |= 4

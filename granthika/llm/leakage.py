@@ -33,6 +33,9 @@ RANK, EXTRA, ROUNDS = 256, 16, 2
 LEAST_COSINE, LEAST_WEIGHTY = 0.4, 3
 #: What makes a leak: words of the item, share of the item, other words among ten.
 LEAST_WORDS, LEAST_SHARE, OTHERS = 15, 0.4, 0.1
+#: What makes a paraphrase: share of a passage's words in order, and of its answers.
+PARAPHRASE_WORDS, PARAPHRASE_ANSWERS = 0.5, 0.8
+REPORT = "doc_id bigint, item_id bigint, how string, answers double"
 
 
 _SIGNS = re.compile(r"[^\wऀ-૿]+|_")
@@ -268,8 +271,24 @@ class Searcher:
                 return True
         return False
 
-    def search(self, docs: list[list[str]]) -> list[tuple[int, int]]:
-        """(document, item's key) of each leak."""
+    def answers(self, item: list[str]) -> frozenset[str]:
+        """What an item is about: its figures, and the rarer half of its words that have a weight."""
+        known = sorted({w for w in item if w in self.ids}, key=lambda w: -self.weights[self.ids[w]])
+        return frozenset(known[: (len(known) + 1) // 2]) | {w for w in item if w.isdigit()}
+
+    def told(self, item: list[str], need: int, part: list[str]) -> float:
+        """How a part of a document tells the item in other words: the share of the answers of the item's best passage that it
+        holds, if it holds half of the passage's words in order; 0 otherwise."""
+        best = 0.0
+        for a in range(0, max(1, len(item) - need + 1), STEP):
+            passage = item[a : a + need]
+            answers = self.answers(passage)
+            if answers and lcs(passage, part) >= PARAPHRASE_WORDS * len(passage):
+                best = max(best, len(answers.intersection(part)) / len(answers))
+        return best
+
+    def search(self, docs: list[list[str]], paraphrases: list | None = None) -> list[tuple[int, int]]:
+        """(document, item's key) of each leak; ``paraphrases`` takes (document, item's key, share of answers) of the other candidates that hold the item's answers."""
         near: dict[tuple[int, int], list[int]] = {}
         for d, i, b in self.candidates(docs):
             near.setdefault((d, i), []).append(b)
@@ -297,6 +316,9 @@ class Searcher:
                 if any(self.holds(item, need, part) for part in dense(words[a:z], have, need)):
                     out.append((d, key))
                     break
+            else:
+                if paraphrases is not None and (share := max(self.told(item, need, words[a:z]) for a, z in spans)) >= PARAPHRASE_ANSWERS:
+                    paraphrases.append((d, key, share))
         return out
 
 
@@ -305,6 +327,15 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
 
     Items are taken in blocks of ``ITEMS_PER_BLOCK``, each against all documents.  Null or blank
     documents and items hold nothing."""
+    return _searched(df, items, key, text, item_key, item_text, False).select("doc_id", "item_id")
+
+
+def leak_report(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``(doc_id, item_id, how, answers)``: the leaks, as ``passage``, and as ``paraphrase`` what is near an item, holds half of a passage's words in order and the ``answers`` share of its answers (figures and rare words)."""
+    return _searched(df, items, key, text, item_key, item_text, True)
+
+
+def _searched(df: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, paraphrases: bool) -> DataFrame:
     spark = df.sparkSession
     rows = items.select(F.col(item_key).cast("bigint"), item_text).where(F.col(item_text).rlike("\\S")).orderBy(item_key)
     n = rows.count()
@@ -312,12 +343,12 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     docs = df.count()
     for block in range((n + ITEMS_PER_BLOCK - 1) // ITEMS_PER_BLOCK):
         got = rows.offset(block * ITEMS_PER_BLOCK).limit(ITEMS_PER_BLOCK).collect()
-        found = _leaks_of_block(df, [(r[0], words_of(t)) for r, t in zip(got, fold_all([r[1] for r in got]))], docs, key, text)
+        found = _leaks_of_block(df, [(r[0], words_of(t)) for r, t in zip(got, fold_all([r[1] for r in got]))], docs, key, text, paraphrases)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint")
+    return out if out is not None else spark.createDataFrame([], REPORT)
 
 
-def _leaks_of_block(df: DataFrame, items: list[tuple[int, list[str]]], docs: int, key: str, text: str) -> DataFrame:
+def _leaks_of_block(df: DataFrame, items: list[tuple[int, list[str]]], docs: int, key: str, text: str, paraphrases: bool) -> DataFrame:
     import numpy as np
 
     spark = df.sparkSession
@@ -334,7 +365,7 @@ def _leaks_of_block(df: DataFrame, items: list[tuple[int, list[str]]], docs: int
                 tf[ids[w]] = tf.get(ids[w], 0.0) + float(weights[ids[w]])
         if tf:
             passages.append((list(tf), list(tf.values())))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("how", pa.string()), ("answers", pa.float64())])
     if passages:
         matrix = spark.createDataFrame(passages, "words array<int>, weights array<float>").repartition(max(1, min(64, len(passages) // 500)))
         vectors = randomised_svd(matrix, len(kept))
@@ -346,11 +377,12 @@ def _leaks_of_block(df: DataFrame, items: list[tuple[int, list[str]]], docs: int
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = made.get("s") or made.setdefault("s", Searcher(*shared.value))
         keys = batch.column(0).to_pylist()
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, str, float]] = []
         for a in range(0, len(keys), 1000):
             words = [words_of(t) for t in fold_all([t or "" for t in batch.column(1).slice(a, 1000).to_pylist()])]
-            out += [(keys[a + d], i) for d, i in s.search(words)]
-        x, y = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_pydict({"doc_id": list(x), "item_id": list(y)}, schema=schema)
+            told: list[tuple[int, int, float]] | None = [] if paraphrases else None
+            out += [(keys[a + d], i, "passage", 1.0) for d, i in s.search(words, told)]
+            out += [(keys[a + d], i, "paraphrase", x) for d, i, x in told or ()]
+        return pa.RecordBatch.from_pydict({k: [r[j] for r in out] for j, k in enumerate(schema.names)}, schema=schema)
 
-    return by_batch(df.select(F.col(key).cast("bigint"), text), run, "doc_id bigint, item_id bigint")
+    return by_batch(df.select(F.col(key).cast("bigint"), text), run, REPORT)

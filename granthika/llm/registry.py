@@ -93,6 +93,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(docs(spark, sf_dir), docs(spark, sf_dir, "eval_items"))
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks, and what tells an item in other words with its answers."""
+    return leakage.leak_report(docs(spark, sf_dir), docs(spark, sf_dir, "eval_items"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture, a row per part of a document in a slot."""
     pieces = tokens.read_pieces(docs(spark, sf_dir, "tok_pieces"))

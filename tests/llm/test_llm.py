@@ -26,7 +26,7 @@ def names():
 
 
 def test_fold_makes_equal_what_reads_equal():
-    same = [("ａｂｃ", "abc"), ("сору", "copy"), ("a​b", "ab"), ("a b", "a b"), ("साे", "सो"), ("अा", "आ"), ("é", "é"), ("र्‍य", "ऱ्य"), ("a‑b", "a-b"), ("x\r\ny", "x\ny")]
+    same = [("ａｂｃ", "abc"), ("сору", "copy"), ("a​b", "ab"), ("a b", "a b"), ("साे", "सो"), ("अा", "आ"), ("é", "é"), ("र्‍य", "ऱ्य"), ("a‑b", "a-b"), ("x\r\ny", "x\ny"), ("a\ufe0fb\u3164\U000e0101", "ab"), ("a\u2800b", "a b"), ("ा" + "े\u200b" * 9, "ो" + "े" * 8)]
     for a, b in same:
         assert chars.fold(a) == chars.fold(b), (a, b)
     for a, b in [("a", "A"), ("१", "1"), ("a", "b"), ("a ", "a"), ("क", "ख"), ("-", "–")]:
@@ -351,6 +351,20 @@ def test_leaks_are_found_and_like_texts_are_not(spark):
     assert leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_paraphrases_need_the_answers(spark):
+    """Half of the words in other words is a paraphrase if the figures and rare words are there, and none without them."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    frequent = [word() for _ in range(12)]
+    item = [x for k in range(16) for x in (frequent[k % 12], f"{word()}")]
+    told = [x if k % 2 else ("other" if k % 4 else x) for k, x in enumerate(item)]
+    like = [f"{word()}" if k % 2 else x for k, x in enumerate(item)]
+    docs = [(0, told), (1, like), (2, item)] + [(3 + i, r.sample(frequent, 9) + [word() for _ in range(30)]) for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["how"]) for r in leakage.leak_report(df, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert got == {(0, "paraphrase"), (2, "passage")}
+
+
 def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
     """A hot item's words are in too many documents to weigh; an item that shares most of them is found too."""
     r = random.Random(9)
