@@ -29,14 +29,15 @@ def with_quality(df: DataFrame, rules: QualityRules = QualityRules(), text: str
 
     The script ratio sees the raw text; the other rules see it without frame lines, stripped."""
     raw = T.not_null(F.col(text))
-    phrases = list(rules.frame_phrases)
-    step = df.withColumns({
-        "script_ratio": T.script_ratio(raw, *rules.script),
-        "frame_ratio": T.frame_line_ratio(raw, phrases),
-        "clean_text": T.strip(T.without_frame_lines(raw, phrases)),
-    })
+    # Generated columns: a filter on what follows can't be pushed below them, which would measure again.
+    outer = F.struct(T.script_ratio(raw, *rules.script).alias("script_ratio"), T.framed(raw, list(rules.frame_phrases)).alias("framed"))
+    step = df.withColumn("_outer", F.explode(F.array(outer)))
+    clean = T.strip(F.col("_outer.framed.rest"))
+    step = step.withColumns({"script_ratio": F.col("_outer.script_ratio"), "frame_ratio": F.col("_outer.framed.ratio"), "clean_text": clean}).drop("_outer")
     clean = F.col("clean_text")
-    step = step.withColumns({"n_words": T.word_count(clean), "symbol_ratio": T.symbol_ratio(clean), "repeated_ratio": T.repeated_line_ratio(clean)})
+    inner = F.struct(T.word_count(clean).alias("words"), T.symbol_count(clean).alias("symbols"), T.repeated_line_ratio(clean).alias("repeated"))
+    step = step.withColumn("_inner", F.explode(F.array(inner)))
+    step = step.withColumns({"n_words": F.col("_inner.words"), "symbol_ratio": F.col("_inner.symbols") / F.greatest(F.lit(1), F.col("_inner.words")), "repeated_ratio": F.col("_inner.repeated")}).drop("_inner")
     reason = (
         F.when(F.col("script_ratio") < rules.min_script_ratio, "script")
         .when(F.col("frame_ratio") > rules.max_frame_lines, "frame")
