@@ -126,12 +126,14 @@ class Rewriter:
         for s, rep in mapping.items():
             self.automaton.add_word(s, (len(s), rep))
         self.automaton.make_automaton()
-        firsts = "".join(sorted({s[0] for s in mapping if len(s) == 1}))
+        # A class of the basic plane is a table; one with characters beyond it would be searched one by one.
+        firsts = "".join(sorted({s[0] for s in mapping if len(s) == 1 and s < "\U00010000"}))
         self.single = re.compile("[" + re.escape(firsts) + "]").search
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.longer = [s for s in mapping if len(s) > 1 and mapping[s] != s and s[0] not in firsts]
 
     def touched(self, text: str) -> bool:
-        return not text.isascii() and self.single(text) is not None or any(s in text for s in self.longer)
+        return not text.isascii() and (self.single(text) is not None or self.beyond(text) is not None) or any(s in text for s in self.longer)
 
     def __call__(self, text: str) -> str:
         if not text.isascii():
