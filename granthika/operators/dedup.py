@@ -8,8 +8,10 @@ lexicographically first maximal independent set of the similarity graph, found i
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,16 +20,27 @@ from ..functions import text as T
 LOCAL_CHECKPOINT = "/tmp/granthika-checkpoint"
 #: Members from which a bucket of MinHash bands is big.
 BIG_BUCKET = 200
+#: Rounds of decisions before the pairs left may go to one task, and how many they may be then (17 bytes each).
+ROUNDS, REST = 8, 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there."""
+    """``df`` written once to the shared checkpoint folder and read from there.
+
+    The folder is ``spark.checkpoint.dir``; a local one serves where that is unset and the master local, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or LOCAL_CHECKPOINT
+
+
 def with_copies_marked(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
     """``df`` with ``first``: whether the row is the first in order with its NFC text.
 
@@ -36,12 +49,13 @@ def with_copies_marked(df: DataFrame, order: list[str], text: str = "text") -> D
     t = T.nfc(T.not_null(F.col(text)))
     place = F.struct(*[F.col(c) for c in order])
     hashed = df.select(*order, F.xxhash64(t).alias("_h"), F.md5(t).alias("_m"))
-    firsts = hashed.groupBy("_h", "_m").agg(F.min(place).alias("_p")).select("_p.*").withColumn("first", F.lit(True))
-    return df.join(firsts, order, "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    firsts = hashed.groupBy("_h", "_m").agg(F.min(place).alias("_p")).select(*[F.col(f"_p.{c}").alias(f"_o{i}") for i, c in enumerate(order)]).withColumn("first", F.lit(True))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)])
+    return df.join(firsts, same, "left").withColumn("first", F.coalesce("first", F.lit(False))).drop(*[f"_o{i}" for i in range(len(order))])
 
 
 def exact_dedup(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """The rows that come first with their text; ``order`` must be a key without nulls."""
+    """The rows that come first with their text; ``order`` must be a key; nulls in it come first."""
     return with_copies_marked(df, order, text).where("first").drop("first")
 
 
@@ -114,22 +128,62 @@ def verified_pairs(bands: DataFrame, df: DataFrame, key: str, text: str, thresho
     return pairs.unionByName(similar_pairs(df.join(hot, key, "left_semi"), key, text, threshold, n)).distinct()
 
 
-def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """``(a, b, similarity)``, a < b, of all documents with shingle Jaccard of ``threshold`` or more: exact, by prefix filtering.
+def _sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """``(k, s, id)``: the hashed shingles of a text and a 128-bit hash of the whole set."""
+    hashed = df.select(F.col(key).alias("k"), F.array_sort(F.transform(T.shingles(T.not_null(F.col(text)), n), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
+    return hashed.withColumn("id", F.struct(F.xxhash64("s").alias("x"), F.xxhash64("s", F.lit(1)).alias("y")))
 
-    Documents' shingles are ordered by rarity; two similar documents share one among the rarest
-    ``size - ceil(threshold * size) + 1`` of both, so only those are joined.  Equal texts should
-    have been removed before: copies are all similar to each other."""
-    sets = cut(df.select(F.col(key).alias("k"), F.transform(T.shingles(T.not_null(F.col(text)), n), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0))
+
+def _pairs_of_sets(sets: DataFrame, threshold: float, block: int = BIG_BUCKET) -> DataFrame:
+    """``(a, b, similarity)``, a < b, of all different sets ``(k, s)`` with a Jaccard similarity of ``threshold`` or more."""
     freq = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     ranked = sets.select("k", F.size("s").alias("size"), F.explode("s").alias("h")).join(freq, "h")
     w = Window.partitionBy("k").orderBy("n", "h")
     prefix = ranked.withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * threshold - F.lit(1e-9)) + 1).where("n > 1").select("h", "k", "size")
-    l, r = prefix.select("h", F.col("k").alias("a"), F.col("size").alias("sa")), prefix.select("h", F.col("k").alias("b"), F.col("size").alias("sb"))
-    pairs = l.join(r, "h").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9)).select("a", "b").distinct()
+    # A shingle that many prefixes hold is met in blocks, so none makes one task.
+    counts = prefix.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    met = prefix.join(counts, "h")
+    l = met.select("h", F.col("k").alias("a"), F.col("size").alias("sa"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    r = met.select("h", F.col("k").alias("b"), F.col("size").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = l.join(r, ["h", "block"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9)).select("a", "b").distinct()
     return _verified(pairs, sets, threshold)
 
 
+def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """``(a, b, similarity)``, a < b, of all documents with shingle Jaccard of ``threshold`` or more: exact, by prefix filtering.
+
+    Documents' shingles are ordered by rarity; two similar documents share one among the rarest
+    ``size - ceil(threshold * size) + 1`` of both, so only those are joined.  Texts of equal
+    shingles are compared once, for all of them, and listed for each.  Equal texts should have
+    been removed before: copies are all similar to each other."""
+    sets = cut(_sets(df, key, text, n))
+    least = sets.groupBy("id").agg(F.min("k").alias("rep"), F.count("*").alias("n"))
+    reps = sets.join(least, (F.col("k") == F.col("rep")) & (sets["id"] == least["id"])).select("k", "s")
+    between = _pairs_of_sets(reps, threshold)
+    several = least.where("n > 1").select("id")
+    if several.isEmpty():
+        return between
+    members = sets.join(least, "id").select("rep", "k")
+    spread = between.join(members.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(members.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
+    same = members.join(members.select("rep", F.col("k").alias("kb")), "rep").where("k < kb").select(F.col("k").alias("a"), F.col("kb").alias("b"), F.lit(1.0).alias("similarity"))
+    return spread.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity").unionByName(same)
+
+
+def pairs_of_firsts(ranked: DataFrame, rank: str, text: str, threshold: float, n: int) -> DataFrame:
+    """``(a, b)`` of ranks, enough for a greedy pass: of texts with equal shingles only the first is compared, the others are linked to it.
+
+    What drops the first drops them too, and if it is kept it drops them itself."""
+    sets = cut(_sets(ranked, rank, text, n))
+    least = sets.groupBy("id").agg(F.min("k").alias("rep"))
+    linked = sets.select("k", "id").join(least, "id").where("k > rep")
+    reps = sets.join(linked.select("k"), "k", "left_anti").select("k", "s")
+    chained = linked.select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    # A follower stands beside its first's earlier neighbours as well, so that it goes when they drop the first.
+    pairs = cut(_pairs_of_sets(reps, threshold).select("a", "b"))
+    followed = pairs.join(chained.select(F.col("a").alias("rep"), F.col("b").alias("k")), pairs["b"] == F.col("rep")).select(pairs["a"], F.col("k").alias("b"))
+    return pairs.unionByName(chained).unionByName(followed)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -137,25 +191,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
-def keep_first(nodes: DataFrame, pairs: DataFrame, rank: str = "rank", rounds: int = 50) -> DataFrame:
+def keep_first(nodes: DataFrame, pairs: DataFrame, rank: str = "rank", rounds: int = ROUNDS, rest: int = REST) -> DataFrame:
     """``(rank)`` of the documents a greedy pass in rank order keeps, given near pairs ``(a, b)`` of ranks, a < b.
 
     Each round keeps what has no undecided or kept earlier neighbour and drops the later
-    neighbours of what is kept; the number of rounds is the longest chain of decisions."""
+    neighbours of what is kept.  The number of rounds is the longest chain of decisions; after
+    ``rounds`` of them, pairs between undecided documents are decided in order by one task if they
+    are ``rest`` or fewer, and by further rounds until they are."""
     edges = cut(pairs.select("a", "b").where("a < b").distinct())
     state = cut(edges.select(F.col("b").alias("v")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     roots = edges.select(F.col("a").alias("v")).distinct().join(state, "v", "left_anti").withColumn("kept", F.lit(True))
     state = cut(state.unionByName(roots))
-    for _ in range(rounds):
+    done = 0
+    while not state.where("kept is null").isEmpty():
+        if done >= rounds:
+            open_ = state.where("kept is null").select("v")
+            left = edges.join(open_.withColumnRenamed("v", "b"), "b").join(state.select(F.col("v").alias("a"), F.col("kept").alias("ka")), "a").where("ka is null or ka").select("a", "b", "ka")
+            if left.limit(rest + 1).count() <= rest:
+                decided = left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_in_order, "v bigint, kept boolean")
+                state = cut(state.where("kept is not null").unionByName(decided))
+                break
         seen = edges.join(state.select(F.col("v").alias("a"), F.col("kept").alias("ka")), "a").groupBy("b").agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("near_kept"), F.bool_and(F.col("ka").eqNullSafe(False)).alias("all_dropped"))
         state = cut(state.join(seen.withColumnRenamed("b", "v"), "v", "left").select("v", F.coalesce("kept", F.when(F.col("near_kept"), False).when(F.col("all_dropped"), True)).alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("undecided documents remain; allow more rounds")
+        done += 1
     return nodes.select(rank).join(state.where("not kept").select(F.col("v").alias(rank)), rank, "left_anti")
 
 
+def _in_order(pairs):
+    """The greedy pass itself over the pairs left."""
+    import pandas as pd
+
+    kept = {int(a): True for a, k in zip(pairs["a"], pairs["ka"]) if k is not None and k == True}  # noqa: E712 - may be numpy's
+    before: dict[int, list[int]] = {}
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        before.setdefault(b, []).append(a)
+    for b in sorted(before):
+        kept[b] = not any(kept.get(a, False) for a in before[b])
+    return pd.DataFrame({"v": list(before), "kept": [kept[b] for b in before]})
+
+
 def dense_rank_of(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``rank``, its place in the order from 0, without a window over all rows.
 
@@ -176,7 +250,7 @@ def fuzzy_dedup(df: DataFrame, order: list[str], text: str = "text", threshold:
     are kept as they are."""
     ranked = dense_rank_of(df, order)
     if how == "exact":
-        pairs = similar_pairs(ranked, "rank", text, threshold, n)
+        pairs = pairs_of_firsts(ranked, "rank", text, threshold, n)
     else:
         bands = minhash_bands(ranked, "rank", text, threshold, permutations, n)
         pairs = verified_pairs(bands, ranked, "rank", text, threshold, n) if how == "lsh" else candidate_pairs(cut(bands), "rank")

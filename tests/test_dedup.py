@@ -39,6 +39,8 @@ def test_exact_keeps_the_first_in_order(spark):
     df = spark.createDataFrame(rows, "source string, doc_id int, text string")
     got = {(r.source, r.doc_id) for r in dedup.exact_dedup(df, ["source", "doc_id"]).collect()}
     assert got == {("a", 2), ("a", 1), ("b", 2), ("c", 1), ("d", 1)}
+    nulls = spark.createDataFrame([(None, 1, "x"), ("a", 2, "x"), ("a", 3, "y"), (None, 4, None)], "source string, doc_id int, text string")
+    assert {r.doc_id for r in dedup.exact_dedup(nulls, ["source", "doc_id"]).collect()} == {1, 3, 4}
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
@@ -66,6 +68,31 @@ def test_a_chain_keeps_its_ends_and_the_cap_lets_the_rest_pass(spark):
     assert {r.doc_id for r in dedup.fuzzy_dedup(df, ["doc_id"]).collect()} == {1}
 
 
+@pytest.mark.parametrize("rounds, rest", [(100, 0), (0, 1_000), (2, 1_000)])
+def test_long_chains_and_random_graphs_are_decided_in_order(spark, rounds, rest):
+    r = random.Random(7)
+    n = 40
+    pairs = {(i, i + 1) for i in range(n - 1)} if rounds == 2 else {tuple(sorted(r.sample(range(n), 2))) for _ in range(50)}
+    kept = []
+    for i in range(n):
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "rank bigint")
+    got = dedup.keep_first(nodes, spark.createDataFrame(sorted(pairs), "a bigint, b bigint"), rounds=rounds, rest=rest)
+    assert {x.rank for x in got.collect()} == set(kept)
+
+
+def test_texts_of_equal_shingles(spark):
+    """Texts that differ in white space only are compared once; the result is as if each were compared."""
+    base = [" ".join(f"w{i}" for i in range(a, a + 30)) for a in (0, 1, 100)]
+    rows = [(i, base[i % 3].replace(" ", " " * (1 + i // 3))) for i in range(12)] + [(20, "a b"), (21, "a  b"), (22, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert {(x.a, x.b) for x in dedup.similar_pairs(df).collect()} == want
+    assert {x.doc_id for x in dedup.fuzzy_dedup(df, ["doc_id"]).collect()} == greedy(rows, 0.8)
+
+
 def test_bands_meet_near_copies(spark):
     assert dedup.band_plan(0.8, 128) == (9, 13)
     rows = [(1, " ".join(f"w{i}" for i in range(200))), (2, " ".join(f"w{i}" for i in range(199)) + " other"), (3, "quite another text of a few words")]

@@ -37,6 +37,29 @@ def test_offsets_blocks_and_the_flat_files(spark, tmp_path):
         assert packing.blocks(one, 4).count() == want
 
 
+def test_streams_of_many_partitions(spark):
+    """Offsets, blocks and windows equal a sequential pass, over rows of 20 partitions and splits of uneven size, in every run."""
+    import random
+
+    r = random.Random(11)
+    rows = [(r.choice(["train"] * 9 + ["val"]) if i else None, i, [r.randrange(60_000) for _ in range(r.choice([0, 1, 3, 40, 200]))]) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "split string, doc_id int, ids array<int>").repartition(20)
+    streams, starts = {}, {}
+    for s, i, ids in rows:
+        starts[i] = len(streams.setdefault(s, []))
+        streams[s] += ids
+    for _ in range(3):
+        placed = packing.with_offsets(df, ["doc_id"])
+        assert {x.doc_id: x.start for x in placed.collect()} == starts
+    got = {(x.split, x.block): (x.x, x.y) for x in packing.blocks(placed, 64).where("split is not null").collect()}
+    assert got == {(s, b): (t[b * 64 : b * 64 + 64], t[b * 64 + 1 : b * 64 + 65]) for s, t in streams.items() if s for b in range((len(t) - 1) // 64)}
+    seen = packing.random_windows(placed, "val", 50, 33).collect()
+    val = streams["val"]
+    assert len(seen) == 50 and len({x.start % 33 for x in seen}) > 5
+    assert all((x.x, x.y) == (val[x.start : x.start + 33], val[x.start + 1 : x.start + 34]) for x in seen)
+    assert packing.random_windows(placed, "none", 5, 33).count() == 0
+
+
 def test_instruction_data(spark):
     rows = [(1, [["a", "b"], ["only"], ["x", "y", "z"], ["  q ", " r "], ["", "s"]]), (2, None), (3, [])]
     df = spark.createDataFrame(rows, "row_id int, mar_deva array<array<string>>")
