@@ -263,7 +263,13 @@ def fuzzy_dedup(df: DataFrame, order: list[str], text: str = "text", threshold:
 
 
 def dedup_counters(df: DataFrame, exact: DataFrame, final: DataFrame, by: str = "source") -> DataFrame:
-    """Per source: documents in, exact copies dropped, left, near copies dropped, final."""
+    """Per source and in total (``total``): documents in, exact copies dropped, left, near copies dropped, final."""
     counts = [x.groupBy(by).agg(F.count("*").alias(c)) for x, c in ((df, "docs_input"), (exact, "after_exact"), (final, "final"))]
-    joined = counts[0].join(counts[1], by, "left").join(counts[2], by, "left").fillna(0, ["after_exact", "final"])
-    return joined.select(by, "docs_input", (F.col("docs_input") - F.col("after_exact")).alias("dropped_exact"), "after_exact", (F.col("after_exact") - F.col("final")).alias("dropped_fuzzy"), "final")
+    joined = counts[0]
+    for c in counts[1:]:
+        joined = joined.join(c.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    joined = joined.fillna(0, ["after_exact", "final"]).withColumn("total", F.lit(False))
+    # A row a source: few.
+    total = joined.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs_input", "after_exact", "final")]).select(F.lit(None).cast("string").alias(by), "docs_input", "after_exact", "final", F.lit(True).alias("total"))
+    both = joined.select(by, "docs_input", "after_exact", "final", "total").unionByName(total)
+    return both.select(by, "total", "docs_input", (F.col("docs_input") - F.col("after_exact")).alias("dropped_exact"), "after_exact", (F.col("after_exact") - F.col("final")).alias("dropped_fuzzy"), "final")

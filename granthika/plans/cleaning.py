@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redaction
@@ -47,8 +47,22 @@ def clean(df: DataFrame, config: CleanConfig = CleanConfig(), language_model: Da
     return out.withColumn("text", T.nfc(F.col("text"))) if config.normalize_output else out
 
 
-def statistics(df: DataFrame, final: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
-    """The funnel of ``df`` with the documents that remain and what was redacted in them."""
-    language = F.lit(True) if config.languages is None else F.col("lang").isin(list(config.languages))
+def statistics(df: DataFrame, final: DataFrame, config: CleanConfig = CleanConfig(), passes_language: Column | None = None) -> DataFrame:
+    """The funnel of ``df`` per source with the documents that remain and what was redacted in them, and a row of totals (``total``)."""
+    language = passes_language if passes_language is not None else F.lit(True) if config.languages is None else F.col("lang").isin(list(config.languages))
     left = final.groupBy("source").agg(F.count("*").alias("final"), *[F.sum(f"redactions.{k}").alias(k) for k in redaction.PLACEHOLDERS])
-    return quality.funnel(df, language, config.rules).join(left, "source", "left").fillna(0)
+    rows = quality.funnel(df, language, config.rules).join(left.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    counts = [c for c in rows.columns if c != "source"]
+    filled = rows.fillna(0, counts).withColumn("total", F.lit(False))
+    # A row a source: few.
+    total = filled.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).select(F.lit(None).cast("string").alias("source"), *counts, F.lit(True).alias("total"))
+    return filled.select("source", *counts, "total").unionByName(total)
+
+
+def statistics_json(stats: DataFrame) -> DataFrame:
+    """One row, ``json``: the totals and, per source in order of the names, the counts of ``statistics``."""
+    counts = [c for c in stats.columns if c not in ("source", "total")]
+    row = F.struct(*[F.col(c) for c in counts])
+    per_source = F.array_sort(F.collect_list(F.when(~F.col("total"), F.struct(F.coalesce("source", F.lit("")).alias("source"), row.alias("counts")))))
+    total = F.first(F.when(F.col("total"), row), ignorenulls=True)
+    return stats.agg(per_source.alias("s"), total.alias("totals")).select(F.to_json(F.struct(F.map_from_entries("s").alias("per_source"), "totals")).alias("json"))

@@ -101,6 +101,37 @@ def test_recovered_documents(spark):
     got = shards.recover_documents(spark.createDataFrame(texts, "stem string, text string")).collect()
     n = {s: [len(r.text.split("\n")) for r in got if r.stem == s] for s, _ in texts}
     assert n == {"two": [2, 1], "one": [50, 50, 1], "none": []}
+    assert {r.id for r in got} == {"one-0", "one-1", "one-2", "two-3", "two-4"}
+
+
+def test_shards_keep_their_order(spark, tmp_path):
+    """Rolling zstd shards, line numbers within files and rows over all files, blank lines counted, ids of text and Parquet rows."""
+    import zstandard
+
+    rows = [(i, f"id{i}", "s", None, "x" * (i % 50) + "अ") for i in range(3000)]
+    df = spark.createDataFrame(rows, "n int, id string, source string, title string, text string").repartition(7)
+    files = shards.write_rolling(df, str(tmp_path / "z"), ["n"], target_mb=0.05)
+    assert len(files) > 3 and sum(f[1] for f in files) == 3000 and all(abs(f[2] - 0.05 * 2**20) < 200 for f in files[:-1])
+    lines = []
+    for name, n, size in files:
+        raw = zstandard.ZstdDecompressor().stream_reader((tmp_path / "z" / name).open("rb")).read()
+        assert len(raw) == size and raw.count(b"\n") == n
+        lines += raw.decode().splitlines()
+    got = shards.read_shards(spark, str(tmp_path / "z")).orderBy("_row").collect()
+    assert [r.id for r in got] == [f"id{i}" for i in range(3000)] and [r._row for r in got] == list(range(3000))
+    assert got[0]._line == 0 and got[files[0][1]]._line == 0 and got[files[0][1] + 5]._line == 5
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("one\n\n two \n")
+    (tmp_path / "t" / "b.txt").write_text(" \nfive")
+    docs = {r.id: r.text for r in shards.read_text_documents(spark, str(tmp_path / "t"), "s").collect()}
+    assert docs == {"0": "one", "2": " two ", "4": "five"}
+    assert sorted(r.line for r in shards.read_lines(spark, str(tmp_path / "t"), 4).collect()) == ["one", "two"]
+    assert shards.write_shards(df, str(tmp_path / "j"), target_mb=0.02, order=["n"]) > 2
+    assert [r.id for r in shards.read_shards(spark, str(tmp_path / "j")).orderBy("_row").collect()] == [f"id{i}" for i in range(3000)]
+    df.orderBy("n").coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert {r.id: r.text for r in shards.read_parquet_documents(spark, str(tmp_path / "p"), "s").collect()}["77"] == rows[77][4]
+    good, bad = shards.isolated({"a": lambda: df, "b": lambda: spark.read.parquet(str(tmp_path / "no")), "c": lambda: df.select(F.raise_error(F.lit("broken")))}, lambda _, x: x.write.format("noop").mode("overwrite").save())
+    assert set(good) == {"a"} and set(bad) == {"b", "c"}
 
 
 def test_shards_round_trip_and_incremental_ingest(spark, tmp_path):
@@ -178,3 +209,9 @@ def test_clean_plan(spark):
     out = cleaning.clean(spark.createDataFrame(rows, "source string, doc_id int, lang string, text string"))
     got = {r.doc_id: r.text for r in out.collect()}
     assert set(got) == {1, 6} and got[6].endswith("[EMAIL]")
+    import json
+
+    stats = cleaning.statistics(spark.createDataFrame(rows, "source string, doc_id int, lang string, text string"), out)
+    told = json.loads(cleaning.statistics_json(stats).collect()[0]["json"])
+    assert told["totals"]["docs_input"] == 6 and told["totals"]["final"] == 2 and told["totals"]["email"] == 1
+    assert told["per_source"]["a"]["docs_input"] == 2 and told["per_source"]["b"]["final"] == 0
