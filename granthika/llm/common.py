@@ -36,16 +36,33 @@ def rows_bound(df: DataFrame, most: int) -> list | None:
 
 
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of one batch, which may give several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = fn(b)
-            if got is not None:
+            if isinstance(got, pa.RecordBatch):
                 yield got
+            elif got is not None:
+                yield from got
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some ``size`` bytes of a text column, so that what is made of a part stays small."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= size:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def usable(text: str | None) -> bool:
     return bool(text) and not text.isspace()

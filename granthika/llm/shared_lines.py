@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import fold_all
-from .common import by_batch, cut, rows_bound
+from .common import by_batch, cut, rows_bound, slices
 from .pii import Detector, Gazetteer
 
 #: A line is shared from this many documents and this share of its source's documents.
@@ -134,9 +134,12 @@ class Lines:
                 rolled += stream[k : n - window + 1 + k] * power
                 power *= base
             mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            cuts = np.flatnonzero((mixed >> np.uint64(33)) % np.uint64(mean) == 0) + window // 2
+            mixed >>= np.uint64(33)
+            is_cut = np.zeros(n, dtype=bool)
+            is_cut[window // 2 : window // 2 + len(mixed)] = (mixed & np.uint64(mean - 1) if mean & (mean - 1) == 0 else mixed % np.uint64(mean)) == 0
             opens = begin[np.flatnonzero(np.diff(self.doc, prepend=-1))]
-            cuts = np.unique(np.concatenate([cuts, opens, opens - 1, [n - 1]]))
+            is_cut[opens] = is_cut[opens - 1] = is_cut[n - 1] = True
+            cuts = np.flatnonzero(is_cut)
             bounds = np.append(cuts, n)
             # A chunk's hash from sums of characters weighed by powers of an odd base, shifted back to 0.
             weights = np.cumprod(np.full(n, base, dtype=np.uint64))
@@ -144,13 +147,15 @@ class Lines:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(stream * weights, dtype=np.uint64)])
             hashes = (sums[bounds[1:]] - sums[cuts]) * back[cuts]
             hashes = ((hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        edges = np.unique(np.concatenate([cuts, begin]))
+        is_line = np.zeros(n, dtype=bool)
+        is_line[begin] = True
+        edges = np.flatnonzero(is_cut | is_line)
         edges = edges[edges > 0]
         stop = np.append(edges[1:], n)
-        line = np.searchsorted(begin, edges, side="right") - 1
+        line = np.cumsum(is_line)[edges] - 1
         letters = stop - edges - (stop == begin[line] + size[line])
         kept = letters > 0
-        return line[kept], hashes[np.searchsorted(cuts, edges, side="right") - 1][kept], letters[kept]
+        return line[kept], hashes[np.cumsum(is_cut)[edges] - 1][kept], letters[kept]
 
 
 def lines_and_chunks(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -158,7 +163,10 @@ def lines_and_chunks(df: DataFrame, names: Gazetteer, key: str = "doc_id", text:
     made = {}
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(k, pa.binary()) for k in ("nos", "keys", "parts", "hashes", "letters")], ("chunk", pa.int32()), ("n", pa.int64())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch):
+        return map(pack, slices(batch, 2))
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         import numpy as np
 
         d = made.get("d") or made.setdefault("d", Detector(names))
