@@ -30,9 +30,9 @@ def top_p(df: DataFrame, p: float, ctx: str = "ctx", token: str = "token", logit
 
 
 def draw(df: DataFrame, seed: int, ctx: str = "ctx", token: str = "token", logit: str = "logit") -> DataFrame:
-    """One token a context by its chance: the first whose running sum passes a seeded uniform number."""
+    """One token a context by its chance: the first whose running sum passes a uniform number, 48 bits of the MD5 of seed and context."""
     w = Window.partitionBy(ctx).orderBy(F.desc(logit), token)
-    u = F.pmod(F.xxhash64(F.col(ctx), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ctx).cast("string"))), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
     run = softmax(df, ctx, logit).withColumns({"_sum": F.sum("p").over(w), "_u": u, "_n": F.row_number().over(w)})
     return run.groupBy(ctx).agg(F.coalesce(F.min_by(token, F.when(F.col("_sum") > F.col("_u"), F.col("_n"))), F.max_by(token, "_n")).alias(token))
 

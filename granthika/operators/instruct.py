@@ -69,7 +69,8 @@ def epoch_batches(df: DataFrame, batch: int, epoch: int = 0, seed: int = 1, key:
     """``df`` with ``batch_id``: a seeded shuffle of the epoch cut into batches, the last one partial."""
     from .dedup import dense_rank_of
 
-    shuffled = dense_rank_of(df.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))), ["_h", key])
+    h = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")))
+    shuffled = dense_rank_of(df.withColumn("_h", h), ["_h", key])
     return shuffled.withColumn("batch_id", (F.col("rank") / batch).cast("bigint")).drop("_h", "rank")
 
 

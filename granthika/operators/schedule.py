@@ -29,11 +29,15 @@ def utilisation(tokens_per_second: Column, params: int, layers: int, heads: int,
     return F.lit(float(6 * params + 12 * layers * heads * head_dim * length)) * tokens_per_second / F.lit(peak)
 
 
-def best(df: DataFrame, loss: str = "val_loss", step: str = "step") -> DataFrame:
-    """The checkpoint of least loss, the earliest of equals."""
-    return df.where(F.col(loss).isNotNull()).agg(F.min_by(step, F.struct(loss, step)).alias(step), F.min(loss).alias(loss))
+def best(df: DataFrame, loss: str = "val_loss", step: str = "step", run: str | None = None) -> DataFrame:
+    """The checkpoint of least loss, the earliest of equals; of each run if there are several."""
+    scored = df.where(F.col(loss).isNotNull())
+    return (scored.groupBy(run) if run else scored.groupBy()).agg(F.min_by(step, F.struct(loss, step)).alias(step), F.min(loss).alias(loss))
 
 
 def newest(df: DataFrame, keep: int = 3, step: str = "step", run: str | None = None) -> DataFrame:
-    w = Window.partitionBy(run if run else F.lit(1)).orderBy(F.desc(step))
+    """The ``keep`` newest checkpoints; without a run a limit finds them, no window over all rows."""
+    if run is None:
+        return df.orderBy(F.desc(step)).limit(keep)
+    w = Window.partitionBy(run).orderBy(F.desc(step))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing, redaction
 from .functions import text as T
-from .operators import decoding, dedup, evaluation, instruct, language, packing, quality, sampling, schedule, vocabulary
+from .operators import decoding, dedup, evaluation, instruct, language, packing, pieces, quality, sampling, schedule, vocabulary
 from .plans import cleaning
 from .sources import shards
+from .streaming import ingest
 
 ORDER = ["source", "doc_id"]
 #: Near duplicates from this similarity on.
@@ -151,7 +154,8 @@ def _streams(spark, d) -> DataFrame:
     """Word tokens and an end per document that is not blank, wikipedia's train documents twice."""
     df = _split(_docs(spark, d), "md5").where(~T.is_blank(F.col("text")))
     copies = sampling.upweight(df, {"wikipedia": 2})
-    ids = F.concat(F.transform(T.words(_text()), lambda w: F.pmod(F.hash(w), F.lit(60_000)) + 2), F.array(F.lit(1)))
+    # A word's id is a hash that other engines can compute too.
+    ids = F.concat(F.transform(T.words(_text()), lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % 60_000) + 2), F.array(F.lit(1)))
     return packing.with_offsets(copies.select("source", "doc_id", "copy", "split", ids.alias("ids")), ["source", "doc_id", "copy"])
 
 
@@ -159,8 +163,13 @@ def document_offsets(spark, d):
     return _streams(spark, d).select("split", "doc_id", "copy", "start", "end")
 
 
+def _joined(ids: str | F.Column) -> F.Column:
+    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+
+
 def token_blocks(spark, d):
-    return packing.blocks(_streams(spark, d), BLOCK).groupBy("split").agg(F.count("*").alias("blocks"), F.sum(F.size("x")).alias("inputs"), F.sum(F.size(F.filter("x", lambda i: i == 1))).alias("ends_in_x"), F.sum(F.size(F.filter("y", lambda i: i == 1))).alias("ends_in_y"))
+    """Every block, its inputs and targets as hashes."""
+    return packing.blocks(_streams(spark, d), BLOCK).select("split", "block", F.md5(_joined("x")).alias("x_md5"), F.md5(_joined("y")).alias("y_md5"))
 
 
 def split_counts(spark, d):
@@ -196,10 +205,13 @@ def chat_texts(spark, d):
     return _pairs(spark, d).select("example", instruct.chat_text(F.col("instruction"), F.col("response")).alias("chat"))
 
 
-def _examples(spark, d) -> DataFrame:
+def _token_pairs(spark, d) -> DataFrame:
     ids = lambda c: F.transform(T.words(c), lambda w: F.length(w) + 1)
-    p = _pairs(spark, d).withColumns({"prompt_ids": ids(instruct.prompt_of(F.col("instruction"))), "response_ids": ids(F.col("response"))})
-    return instruct.masked_examples(p, 64)
+    return _pairs(spark, d).withColumns({"prompt_ids": ids(instruct.prompt_of(F.col("instruction"))), "response_ids": ids(F.col("response"))})
+
+
+def _examples(spark, d) -> DataFrame:
+    return instruct.masked_examples(_token_pairs(spark, d), 64)
 
 
 def masked_examples(spark, d):
@@ -208,7 +220,7 @@ def masked_examples(spark, d):
 
 def padded_batches(spark, d):
     e = _examples(spark, d).withColumn("batch_id", F.conv(F.substring(F.md5("example"), 1, 4), 16, 10).cast("bigint") % 25)
-    return instruct.padded(e).select("example", "batch_id", F.size("x").alias("length"), F.size(F.filter("y", lambda i: i >= 0)).alias("targets"), F.aggregate("x", F.lit(0).cast("bigint"), lambda s, i: s + i).alias("sum_x"), F.aggregate("y", F.lit(0).cast("bigint"), lambda s, i: s + i).alias("sum_y"))
+    return instruct.padded(e).select("example", "batch_id", _joined("x").alias("x"), _joined("y").alias("y"))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -216,8 +228,9 @@ def padded_batches(spark, d):
 
 def fertility(spark, d):
     t = _text()
-    df = _docs(spark, d).select(T.word_count(t).alias("n_words"), F.explode(F.create_map(F.lit("characters"), F.length(t), F.lit("bytes"), F.octet_length(t), F.lit("words"), T.word_count(t))).alias("tokenizer", "n_tokens"))
-    return evaluation.fertility(df)
+    # Sums first, one row; then a row a tokenizer.
+    sums = _docs(spark, d).agg(F.sum(F.length(t)).alias("characters"), F.sum(F.octet_length(t)).alias("bytes"), F.sum(T.word_count(t)).alias("words"))
+    return evaluation.fertility(sums.select(F.col("words").alias("n_words"), F.explode(F.create_map(*[x for c in ("characters", "bytes", "words") for x in (F.lit(c), F.col(c))])).alias("tokenizer", "n_tokens")))
 
 
 def perplexity(spark, d):
@@ -301,8 +314,240 @@ CORE = [
 ]
 
 
+# ----------------------------------------------- sources, sinks and the rest
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads back, in the shared checkpoint folder."""
+    return f"{dedup.shared_folder(spark)}/granthika-{name}-{uuid.uuid4().hex}"
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def shard_round_trip(spark, d):
+    """Documents written as rolling zstd shards and read back in order."""
+    folder = _scratch(spark, "shards")
+    df = _docs(spark, d).where("source is not null and id is not null").select("source", "doc_id", "id", "title", "text")
+    shards.write_rolling(df, _local(folder), ["source", "doc_id"], target_mb=8)
+    schema = "source string, doc_id bigint, id string, title string, text string"
+    return shards.read_shards(spark, folder, schema).select(F.col("_row").alias("place"), "doc_id", "id", "title", F.md5("text").alias("text_md5"))
+
+
+def ordered_shards(spark, d):
+    """Gzip shards by source and document, line numbers checked against the order."""
+    folder = _scratch(spark, "gzip")
+    shards.write_shards(_docs(spark, d).select("source", "id", "title", "text", "doc_id"), folder, target_mb=1, order=ORDER)
+    return shards.read_shards(spark, folder, "source string, doc_id bigint, id string").select(F.col("_row").alias("place"), "doc_id")
+
+
+def by_source(spark, d):
+    """Documents written by source; the sources found are the folders."""
+    folder = _scratch(spark, "sources")
+    shards.write_by_source(_docs(spark, d).select("source", "doc_id"), folder)
+    back = spark.read.parquet(folder)
+    return back.groupBy("source").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least_id"))
+
+
+def sources_found(spark, d):
+    found = sampling.sources_of(_docs(spark, d))
+    return spark.createDataFrame(list(enumerate(found)), "place int, source string")
+
+
+def parquet_documents(spark, d):
+    """A Parquet source in the common form: id and title of the rows."""
+    return shards.read_parquet_documents(spark, f"{d}/documents.parquet", "sangraha", id="doc_id", title="title").select("id", "source", "title", F.length("text").alias("n_chars"))
+
+
+def numbered_documents(spark, d):
+    """A Parquet source without ids: rows numbered in order."""
+    return shards.read_parquet_documents(spark, f"{d}/documents.parquet", "indiccorp").select("id", "source", F.md5("text").alias("text_md5"))
+
+
+def text_documents(spark, d):
+    """One document a line of a text file."""
+    folder = _scratch(spark, "lines")
+    _t(spark, d, "tweets").orderBy("tweet_id").select(F.regexp_replace(F.coalesce("tweet", F.lit("")), "[\\r\\n]", " ").alias("value")).coalesce(1).write.text(folder)
+    return shards.read_text_documents(spark, folder, "tweets").select("id", "source", "text")
+
+
+def text_lines(spark, d):
+    """The first 50 lines of a file, those that are not blank."""
+    folder = _scratch(spark, "prompts")
+    _t(spark, d, "tweets").orderBy("tweet_id").select(F.regexp_replace(F.coalesce("tweet", F.lit("")), "[\\r\\n]", " ").alias("value")).coalesce(1).write.text(folder)
+    return shards.read_lines(spark, folder, 50)
+
+
+def tweet_csv(spark, d):
+    """Tweets through a CSV file with a header."""
+    folder = _scratch(spark, "csv")
+    _t(spark, d, "tweets").where("label is not null").select("tweet", "label").write.option("header", True).option("escape", '"').csv(folder)
+    return shards.read_tweets(spark, folder).groupBy("tweet", "label").agg(F.count("*").alias("n"))
+
+
+def manual_pairs(spark, d):
+    """Pairs through a JSON-lines file, and a missing file, which reads as none."""
+    folder = _scratch(spark, "pairs")
+    _t(spark, d, "instruct_pairs").select("instruction", "response").write.json(folder)
+    return shards.read_manual_pairs(spark, folder).unionByName(shards.read_manual_pairs(spark, folder + "-missing"))
+
+
+def isolated_sources(spark, d):
+    """Rows of each source that can be read; two can't."""
+    make = {name: (lambda n=name: shards.require_column(_t(spark, d, n), "source")) for name in ("documents", "instruct_pairs", "tweets", "missing")}
+    good, bad = shards.isolated(make)
+    rows = None
+    for name, df in good.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(True).alias("read"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.unionByName(spark.createDataFrame([(name, False, None) for name in bad], "table string, read boolean, n bigint"))
+
+
+def pending_documents(spark, d):
+    """Documents that the log does not yet list as prepared: what a resumed run goes on with."""
+    done = _t(spark, d, "shard_log").where("stage = 'prepare' and doc_id is not null").select("doc_id").distinct()
+    return ingest.pending(_docs(spark, d).select("doc_id"), done, ["doc_id"])
+
+
+def streamed_documents(spark, d):
+    """Documents ingested as a stream, twice: the second run finds nothing new, copies are dropped on arrival."""
+    folder = _scratch(spark, "stream")
+    source = _docs(spark, d).select("doc_id", "source", "text")
+    source.write.parquet(f"{folder}/in")
+    for _ in range(2):
+        ingest.ingest(ingest.document_stream(spark, f"{folder}/in", source.schema, "parquet"), f"{folder}/out", f"{folder}/state", ingest.streaming_exact_dedup)
+    return spark.read.parquet(f"{folder}/out").select(F.md5(T.nfc(_text())).alias("text_md5"))
+
+
+def flat_files(spark, d):
+    """Token files written by executors and read back: each document's place, and its ids' sum."""
+    import numpy as np
+
+    folder = _local(_scratch(spark, "flat"))
+    streams = dedup.cut(_streams(spark, d))
+    rows = []
+    for split in ("train", "val", "wiki_val"):
+        docs, total = packing.write_flat(streams, folder, split)
+        ids, at = np.fromfile(f"{folder}/{split}.bin", dtype="<u2"), np.fromfile(f"{folder}/{split}.idx", dtype="<i8")
+        rows.append((split, docs, total, int(ids.astype("int64").sum()), int((ids == 1).sum()), int(at[:-1].sum())))
+    return spark.createDataFrame(rows, "split string, docs bigint, tokens bigint, sum_ids bigint, ends bigint, sum_starts bigint")
+
+
+def corpus_meta(spark, d):
+    """The description of the token files."""
+    meta = packing.corpus_meta(dedup.cut(_streams(spark, d)), 60_002, 1, {"wikipedia": 2})
+    return spark.createDataFrame([(meta,)], "json string").select(F.explode(F.from_json(F.get_json_object("json", "$.splits"), "map<string, struct<docs: bigint, tokens: bigint>>")).alias("split", "v")).select("split", "v.docs", "v.tokens")
+
+
+def random_windows(spark, d):
+    """Training windows that begin anywhere in a split."""
+    w = packing.random_windows(_streams(spark, d), "train", 200, BLOCK)
+    return w.select("window", "start", F.md5(_joined("x")).alias("x_md5"), F.md5(_joined("y")).alias("y_md5"))
+
+
+def piece_tokens(spark, d):
+    """Ids of every document under the piece table, an end after each; counted, and the least and greatest."""
+    table = [tuple(r) for r in _t(spark, d, "tok_pieces").where("piece is not null").select("token_id", "piece", "kind", "score").collect()]
+    ids = packing.encode_with(_docs(spark, d).where(~T.is_blank(F.col("text"))), pieces.piece_encoder(table), end=3)
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.array_min("ids").alias("least_id"), F.element_at("ids", -1).alias("last_id"))
+
+
+def vocabulary_warning(spark, d):
+    """Whether samples of a tenth of the text are too small for vocabularies of some sizes."""
+    total = _docs(spark, d).agg(F.coalesce(F.sum(F.octet_length(_text())), F.lit(0))).collect()[0][0]
+    return spark.createDataFrame([(v, vocabulary.too_little(total // 10, v)) for v in (100, 1_000, 32_000, 1_000_000)], "vocabulary int, too_little boolean")
+
+
+def covered_characters(spark, d):
+    """The alphabet: the most frequent characters that make up 99.95 % of the text."""
+    return spark.createDataFrame([(c,) for c in vocabulary.character_coverage(_docs(spark, d))], "character string")
+
+
+def sized_sample(spark, d):
+    """A sample by hash of about 100,000 bytes."""
+    df = _docs(spark, d)
+    return sampling.hash_sample(df, sampling.sample_share(df, 100_000), how="md5").select("doc_id")
+
+
+def capped_fuzzy_dedup(spark, d):
+    """Near copies dropped until 100 documents are kept; later ones stay."""
+    df = dedup.exact_dedup(_docs(spark, d).select("source", "doc_id", "text"), ORDER)
+    return dedup.fuzzy_dedup(df, ORDER, threshold=NEAR, cap=100).select("doc_id")
+
+
+def unfuzzy_pipeline(spark, d):
+    """The cleaning pipeline without near de-duplication or language stage."""
+    out = cleaning.clean(_docs(spark, d), cleaning.CleanConfig(fuzzy=None))
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "redactions.*")
+
+
+def clean_statistics(spark, d):
+    """Funnel, remaining documents and redactions per source and in total."""
+    df = _docs(spark, d)
+    return cleaning.statistics(df, cleaning.clean(df, cleaning.CleanConfig(fuzzy=None)))
+
+
+def turn_limit(spark, d):
+    """Rows until 50 turns are read; a row is never cut."""
+    return instruct.limit_after_row(_t(spark, d, "indic_turns"), 50, "row_id").select("row_id")
+
+
+def united_sources(spark, d):
+    pairs = instruct.flatten_turns(_t(spark, d, "indic_turns"))
+    manual = _t(spark, d, "instruct_pairs").select("instruction", "response")
+    return instruct.union_sources({"turns": pairs, "manual": manual}).groupBy("source").agg(F.count("*").alias("pairs"), F.count("response").alias("answered"))
+
+
+def skipped_examples(spark, d):
+    return instruct.skipped(_token_pairs(spark, d), 64)
+
+
+def epoch_batches(spark, d):
+    return instruct.epoch_batches(_examples(spark, d).select("example"), 32).select("example", "batch_id")
+
+
+def warm_softmax(spark, d):
+    """Chances at temperature 0.8, and at 0, where the greatest logit takes all."""
+    hot = decoding.softmax(_logits(spark, d).withColumn("logit", decoding.temperature(F.col("logit"), 0.8))).select("ctx", "token", F.lit(0.8).alias("t"), F.round("p", 9).alias("p"))
+    cold = decoding.softmax(_logits(spark, d).withColumn("logit", decoding.temperature(F.col("logit"), 0.0))).select("ctx", "token", F.lit(0.0).alias("t"), F.round("p", 9).alias("p"))
+    return hot.unionByName(cold)
+
+
+def last_tokens(spark, d):
+    ids = F.transform(T.words(_text()), lambda w: F.length(w))
+    return _docs(spark, d).select("doc_id", _joined(decoding.last_tokens(ids, 16)).alias("ids"))
+
+
+def stopped_texts(spark, d):
+    """What stands before the end mark."""
+    chat = instruct.chat_text(F.col("instruction"), F.col("response"))
+    return _pairs(spark, d).select("example", decoding.until_end(F.concat(F.lit("  "), chat, F.lit(" more"))).alias("text"))
+
+
+def utilisation(spark, d):
+    e = _t(spark, d, "events").where("value is not null")
+    return e.select("event_id", F.round(schedule.utilisation(F.col("value") * 1000, 22_900_000, 8, 6, 64, 1024, 61.73e12), 9).alias("mfu"))
+
+
+def best_checkpoints(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.col("event_id").alias("step"), F.col("value").alias("val_loss"))
+    return schedule.best(e, run="user_id").select("user_id", "step", F.round("val_loss", 6).alias("val_loss"))
+
+
+def seeded_head(spark, d):
+    return evaluation.seeded_head(_tweets(spark, d).where("split_name = 'test'"), 300, "tweet_id").select("tweet_id", "label")
+
+
+EXTRA = [
+    shard_round_trip, ordered_shards, by_source, sources_found, parquet_documents, numbered_documents, text_documents, text_lines, tweet_csv, manual_pairs, isolated_sources, pending_documents, streamed_documents,
+    flat_files, corpus_meta, random_windows, piece_tokens, vocabulary_warning, covered_characters, sized_sample, capped_fuzzy_dedup, unfuzzy_pipeline, clean_statistics, turn_limit, united_sources, skipped_examples,
+    epoch_batches, warm_softmax, last_tokens, stopped_texts, utilisation, best_checkpoints, seeded_head,
+]
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in CORE}
+    return {q.__name__: q for q in [*CORE, *EXTRA]}
 
 
 def oracle_sql() -> dict[str, str]:
