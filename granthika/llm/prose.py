@@ -372,7 +372,7 @@ def _set(form: str, r: random.Random, texts: list[str], phrases: list[str]) -> s
             r.shuffle(letters)
             it, lengths = iter(letters), [len(w) for w in pool.split()]
             return _wrap(" ".join("".join(c for c, _ in zip(it, range(n))) for n in lengths), r.randint(50, 90))
-        kinds = sorted({c for c in letters if c.isalpha() or ord(c) > 0x900})  # any of its letters and marks, all alike
+        kinds = sorted({c for c in letters if c.isalpha() or ord(c) > 0x900}) or ["x"]  # any of its letters and marks, all alike
         return "\n".join(" ".join("".join(r.choice(kinds) for _ in range(r.randint(1, 2 + 2 * r.randint(1, 9)))) for _ in range(r.randint(4, 14))) for _ in range(r.randint(2, 10)))
     few = [r.choice(phrases) for _ in range(r.randint(1, 4))]
     if how == "shuffled_words":
