@@ -46,6 +46,9 @@ def first_per_source(df: DataFrame, n: int | None, order: list[str], source: str
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def sources_of(df: DataFrame, source: str = "source") -> list[str]:
-    """The names of the sources, sorted; at most a million."""
-    return [r[0] for r in df.select(source).where(F.col(source).isNotNull()).distinct().orderBy(source).limit(1_000_000).collect()]
+def sources_of(df: DataFrame, source: str = "source", most: int = 1_000_000) -> list[str]:
+    """The names of the sources, sorted; more than ``most`` raise an error."""
+    found = df.select(source).where(F.col(source).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} sources")
+    return sorted(r[0] for r in found)

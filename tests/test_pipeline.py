@@ -164,6 +164,9 @@ def test_language_filter(spark):
     docs = spark.createDataFrame([(1, "the dog and the cat"), (2, "काम चांगले आहे"), (3, ""), (4, None)], "doc_id int, text string")
     got = {r.doc_id: r.lang for r in language.identify(docs, language.train(samples)).collect()}
     assert got[1] == "en" and got[2] == "mr"
+    model = language.train(samples)
+    here, joined = ({r.doc_id: (r.lang, round(r.prob, 9)) for r in language.identify(docs, model, most=m).collect()} for m in (1_000_000, 0))
+    assert here == joined
 
 
 def test_merges_go_on_to_the_last_pair(spark, tmp_path):
@@ -197,6 +200,48 @@ def test_merges_go_on_to_the_last_pair(spark, tmp_path):
     assert got == want and len(got) > 200
 
 
+def test_byte_pair_encoding_comes_back(spark):
+    """Ids give every text back, characters outside the alphabet by their bytes; special symbols are one id each."""
+    from granthika.operators.pieces import BytePairs
+
+    df = spark.createDataFrame([("मातीची भांडी मातीची भांडी करतात करतात low low lower newest",)] * 20 + [("🙂",)], "text string")
+    alphabet = vocabulary.character_coverage(df, coverage=0.999)
+    assert "🙂" not in alphabet
+    merges = vocabulary.byte_pair_merges(df, 60, alphabet=alphabet)
+    coder = BytePairs(alphabet, merges, vocabulary.SPECIAL)
+    for text in ("मातीची भांडी", " low  newest ", "🙂 नवीन 漢字", "", "\n", "<|user|>low<|endoftext|>"):
+        assert coder.decode(coder.encode(text)) == text
+    assert coder.encode("<|endoftext|>") == [0] and len(coder.encode("मातीची")) < len("मातीची")
+    assert len(coder.encode("🙂")) == 4
+
+
+def test_unigram_ids_equal_brute_force():
+    from granthika.operators.pieces import Unigram
+
+    table = [(5, "▁", "piece", -3.0), (6, "a", "piece", -4.0), (7, "b", "piece", -4.0), (8, "ab", "piece", -5.0), (9, "▁a", "piece", -4.5), (10, "bab", "piece", -9.5), *((100 + b, f"<0x{b:02X}>", "byte", -20.0) for b in range(256))]
+    u = Unigram(table)
+    score = {p: (i, s) for i, p, k, s in table if k == "piece"}
+
+    def best(text):
+        if not text:
+            return (0.0, 0, [])
+        options = []
+        for p, (i, s) in score.items():
+            if text.startswith(p):
+                t = best(text[len(p) :])
+                options.append((t[0] + s, t[1] - 1, [i, *t[2]]))
+        if text[0] not in score:
+            b, t = text[0].encode(), best(text[1:])
+            options.append((t[0] - 20.0 * len(b), t[1] - len(b), [100 + x for x in b] + t[2]))
+        return max(options, key=lambda x: x[:2])
+
+    for w in ("a", "ab", "abab", "bbb", "aé", "क", "xabx"):
+        got = u.word(w)
+        want = best("▁" + w)
+        assert len(got) == -want[1] and got == want[2], w
+    assert u.encode(" ab\n a ") == u.word("ab") + u.word("a") and u.encode("") == []
+
+
 def test_byte_pair_merges(spark):
     df = spark.createDataFrame([("low low low lower newest newest",)], "text string")
     merges = vocabulary.byte_pair_merges(df, 3)
