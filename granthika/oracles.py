@@ -80,6 +80,28 @@ SOFT = lambda of: f"peaks AS (SELECT *, exp(logit - max(logit) OVER (PARTITION B
 REDACTED = lambda of: f"""ra AS (SELECT *, {TWICE('t', redaction.AADHAAR, '[AADHAAR]')} AS ta FROM {of}), rp AS (SELECT *, {TWICE('ta', redaction.PHONE, '[PHONE]')} AS tp FROM ra), re AS (SELECT *, regexp_replace(tp, '{redaction.EMAIL}', '[EMAIL]', 'g') AS te FROM rp),
 red AS (SELECT *, ((length(ta) - length(replace(ta, '[AADHAAR]', ''))) / 9 - (length(t) - length(replace(t, '[AADHAAR]', ''))) / 9)::INT AS n_aadhaar, ((length(tp) - length(replace(tp, '[PHONE]', ''))) / 7 - (length(ta) - length(replace(ta, '[PHONE]', ''))) / 7)::INT AS n_phone, len(regexp_extract_all(tp, '{redaction.EMAIL}'))::INT AS n_email FROM re)"""
 KEPT = "kept AS MATERIALIZED (SELECT source, doc_id, c AS t FROM reasoned WHERE reason = 'kept'), clean AS MATERIALIZED (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY nfc_normalize(t) ORDER BY source, doc_id) = 1)"
+# xxHash64 of a text with seed 0, in 128-bit integers modulo 2^64; fixed values: its primes.
+_M, _P1, _P2, _P3, _P4, _P5 = (f"{n}::UHUGEINT" for n in (1 << 64, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_MUL = lambda a, b: f"((({a}) * ({b})) % {_M})"
+_ADD = lambda a, b: f"((({a}) + ({b})) % {_M})"
+_ROTL = lambda x, r: f"((({x}) * {1 << r}::UHUGEINT) % {_M} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+# Terms are named by list elements, so that each is computed once.
+_LET = lambda name, value, then: f"list_transform([{value}], lambda {name}: {then})[1]"
+_ROUND = lambda acc, lane: _LET("rx", _ADD(acc, _MUL(lane, _P2)), _MUL(_ROTL("rx", 31), _P1))
+_STEP = lambda h, r, by, plus: _LET("sx", h, f"(({_MUL(_ROTL('sx', r), by)} + {plus}) % {_M})")
+_SHIFTED = lambda h, r: _LET("vx", h, f"xor(vx, vx // {1 << r}::UHUGEINT)")
+_LANE = lambda off, n: f"list_reduce(list_transform(range(0, {n}), lambda j: b[{off} + j + 1] * powers[j + 1]), lambda lx, ly: lx + ly)"
+_STRIPES = lambda k, start: f"list_reduce(list_transform(range(0, n // 32), lambda q: {_LANE(f'32 * q + {8 * k}', 8)}), lambda acc, lane: {_ROUND('acc', 'lane')}, {start})"
+_MERGED = lambda h, v: _LET("mh", h, f"((({_MUL(f'xor(mh, {_ROUND("0::UHUGEINT", v)})', _P1)}) + {_P4}) % {_M})")
+XXH64 = lambda of, key, keep: f"""
+hx AS (SELECT {keep}, hex(encode({key})) AS hx FROM {of}), bytes AS (SELECT {keep}, len(hx) // 2 AS n, list_transform(range(0, len(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::UHUGEINT) AS b, list_transform(range(0, 8), lambda i: (1::UHUGEINT << (8 * i)::UHUGEINT)) AS powers FROM hx),
+accs AS (SELECT *, {_STRIPES(0, _ADD(_P1, _P2))} AS v1, {_STRIPES(1, _P2)} AS v2, {_STRIPES(2, "0::UHUGEINT")} AS v3, {_STRIPES(3, f"({_M} - {_P1})")} AS v4 FROM bytes),
+begun AS (SELECT *, CASE WHEN n < 32 THEN {_P5} ELSE {_MERGED(_MERGED(_MERGED(_MERGED(_ADD(_ADD(_ROTL("v1", 1), _ROTL("v2", 7)), _ADD(_ROTL("v3", 12), _ROTL("v4", 18))), "v1"), "v2"), "v3"), "v4")} END AS h0, n // 32 * 32 AS o0 FROM accs),
+eights AS (SELECT *, list_reduce(list_transform(range(0, (n - o0) // 8), lambda q: {_LANE("o0 + 8 * q", 8)}), lambda acc, lane: {_STEP(f"xor(acc, {_ROUND('0::UHUGEINT', 'lane')})", 27, _P1, _P4)}, {_ADD("h0", "n::UHUGEINT")}) AS h1, o0 + (n - o0) // 8 * 8 AS o8 FROM begun),
+fours AS (SELECT *, CASE WHEN n - o8 >= 4 THEN {_STEP(f"xor(h1, {_MUL(_LANE('o8', 4), _P1)})", 23, _P2, _P3)} ELSE h1 END AS h2, o8 + (n - o8) // 4 * 4 AS o4 FROM eights),
+ones AS (SELECT *, list_reduce(list_transform(range(o4, n), lambda q: b[q + 1]), lambda acc, x: {_STEP(f"xor(acc, {_MUL('x', _P5)})", 11, _P1, "0::UHUGEINT")}, h2) AS h3 FROM fours),
+hashed AS (SELECT {keep}, {_SHIFTED(_MUL(_SHIFTED(_MUL(_SHIFTED("h3", 33), _P2), 29), _P3), 32)} AS h FROM ones)
+"""
 # Naive Bayes on the trigrams of lower-case text.
 GRAMS = lambda x: f"list_transform(range(1, greatest(1, len({x}) - 2) + 1), lambda i: array_to_string({x}[i:i + 2], ''))"
 CHARS = lambda x: f"regexp_extract_all(' ' || regexp_replace({STRIP(f'lower({x})')}, '{WS}+', ' ', 'g') || ' ', '(?s).')"
@@ -194,4 +216,7 @@ SQL = {
     "utilisation": "SELECT event_id, round((6 * 22900000 + 12 * 8 * 6 * 64 * 1024)::DOUBLE * (value * 1000) / 61.73e12, 9) AS mfu FROM events WHERE value IS NOT NULL",
     "best_checkpoints": "SELECT user_id, event_id AS step, round(value, 6) AS val_loss FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) = 1",
     "seeded_head": f"WITH {TWEETS} SELECT tweet_id, label FROM tw WHERE split_name = 'test' ORDER BY md5('test:' || tweet_id), tweet_id LIMIT 300",
+    "splits_xxh64": f"WITH {XXH64('documents', KEY, 'doc_id, source')} SELECT doc_id, CASE WHEN h % 1000000 < 5000 THEN 'val' WHEN source = 'wikipedia' AND h % 1000000 < 25000 THEN 'wiki_val' ELSE 'train' END AS split FROM hashed",
+    "holdout_xxh64": f"WITH {XXH64('documents', KEY, 'doc_id')} SELECT doc_id FROM hashed WHERE h % 1000 < 10",
+    "instruction_splits_xxh64": f"""WITH {TURNS}, {XXH64('flat', "source || ':' || instruction", 'example, source')} SELECT example, CASE WHEN h % 1000 < 5 AND source <> 'manual' THEN 'val' ELSE 'train' END AS split FROM hashed""",
 }

@@ -142,6 +142,10 @@ def splits_xxh64(spark, d):
     return _split(_docs(spark, d), "xxh64").select("doc_id", "split")
 
 
+def holdout_xxh64(spark, d):
+    return _docs(spark, d).where(sampling.is_holdout(F.col("source"), F.col("id"))).select("doc_id")
+
+
 def upweighted(spark, d):
     return sampling.upweight(_split(_docs(spark, d), "md5"), {"wikipedia": 2}).groupBy("source", "split").agg(F.count("*").alias("docs"), F.sum(T.word_count(_text())).alias("words"))
 
@@ -201,6 +205,10 @@ def instruction_splits(spark, d):
     return _pairs(spark, d).withColumn("split", instruct.instruction_split(F.col("source"), F.col("instruction"), how="md5")).groupBy("source", "split").agg(F.count("*").alias("examples"))
 
 
+def instruction_splits_xxh64(spark, d):
+    return _pairs(spark, d).select("example", instruct.instruction_split(F.col("source"), F.col("instruction")).alias("split"))
+
+
 def chat_texts(spark, d):
     return _pairs(spark, d).select("example", instruct.chat_text(F.col("instruction"), F.col("response")).alias("chat"))
 
@@ -540,6 +548,7 @@ def seeded_head(spark, d):
 
 
 EXTRA = [
+    holdout_xxh64, instruction_splits_xxh64,
     shard_round_trip, ordered_shards, by_source, sources_found, parquet_documents, numbered_documents, text_documents, text_lines, tweet_csv, manual_pairs, isolated_sources, pending_documents, streamed_documents,
     flat_files, corpus_meta, random_windows, piece_tokens, vocabulary_warning, covered_characters, sized_sample, capped_fuzzy_dedup, unfuzzy_pipeline, clean_statistics, turn_limit, united_sources, skipped_examples,
     epoch_batches, warm_softmax, last_tokens, stopped_texts, utilisation, best_checkpoints, seeded_head,

@@ -20,8 +20,10 @@ def test_words_lines_and_strip_agree_with_python(spark):
     r = random.Random(3)
     texts = ["".join(r.choice("abअ१👍 " + ODD) for _ in range(r.randint(0, 25))) for _ in range(300)] + ["", " ", "a\r\nb\r", "\r\n"]
     got = col(spark, texts, T.word_count(F.col("text")), T.words(F.col("text")), T.lines(F.col("text")), T.strip(F.col("text")))
-    for t, (n, words, lines, stripped) in zip(texts, got):
+    own = col(spark, texts, T.stripped_lines(F.col("text")), T.without_frame_lines(F.col("text")))
+    for t, (n, words, lines, stripped), (kept, rest) in zip(texts, got, own):
         assert (n, words, lines, stripped) == (len(t.split()), t.split(), t.splitlines(), t.strip()), repr(t)
+        assert kept == [x.strip() for x in t.splitlines() if x.strip()] and rest == "\n".join(t.splitlines()), repr(t)
 
 
 def test_script_ratio(spark):
