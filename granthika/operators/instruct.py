@@ -46,6 +46,10 @@ def instruction_split(source: Column, instruction: Column, permille: int = 5, al
     return F.when(held & ~source.isin(list(always_train)), "val").otherwise("train")
 
 
+def example_counts(df: DataFrame) -> DataFrame:
+    return df.groupBy("source", "split").agg(F.count("*").alias("examples"))
+
+
 def prompt_of(instruction: Column) -> Column:
     return F.concat(F.lit(USER + "\n"), instruction, F.lit("\n" + ASSISTANT + "\n"))
 

@@ -75,3 +75,8 @@ def corpus_size(df: DataFrame, by: str = "source", text: str = "text") -> DataFr
     """Documents, UTF-8 bytes and words per source, and in total (null source)."""
     t = T.not_null(F.col(text))
     return df.rollup(by).agg(F.count("*").alias("docs"), F.sum(F.octet_length(t)).alias("bytes"), F.sum(T.word_count(t)).alias("words"))
+
+
+def ingest_summary(log: DataFrame, by: tuple[str, ...] = ("source", "stage"), key: str = "doc_id") -> DataFrame:
+    """Records, different documents, bytes and words of an ingest log per source and stage; null sizes count nothing."""
+    return log.groupBy(*by).agg(F.count("*").alias("records"), F.count_distinct(key).alias("docs"), F.sum("n_bytes").alias("bytes"), F.sum("proxy_tokens").alias("proxy_tokens"))

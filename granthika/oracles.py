@@ -219,4 +219,5 @@ SQL = {
     "splits_xxh64": f"WITH {XXH64('documents', KEY, 'doc_id, source')} SELECT doc_id, CASE WHEN h % 1000000 < 5000 THEN 'val' WHEN source = 'wikipedia' AND h % 1000000 < 25000 THEN 'wiki_val' ELSE 'train' END AS split FROM hashed",
     "holdout_xxh64": f"WITH {XXH64('documents', KEY, 'doc_id')} SELECT doc_id FROM hashed WHERE h % 1000 < 10",
     "instruction_splits_xxh64": f"""WITH {TURNS}, {XXH64('flat', "source || ':' || instruction", 'example, source')} SELECT example, CASE WHEN h % 1000 < 5 AND source <> 'manual' THEN 'val' ELSE 'train' END AS split FROM hashed""",
+    "identified_funnel": f"WITH {DOCS}, {IDENTIFIED}, {MEASURES}, f AS (SELECT r.*, coalesce(i.lang = 'mr' AND prob >= 0.4, false) AS l FROM reasoned r LEFT JOIN identified i ON i.doc_id = r.doc_id) SELECT source, count(*) AS docs_input, count(*) FILTER (l) AS docs_after_language, count(*) FILTER (l AND reason <> 'script') AS docs_after_script, count(*) FILTER (l AND reason = 'kept') AS docs_after_quality, sum(len({WORDS('t')}))::BIGINT AS words_input, coalesce(sum(n_words) FILTER (l AND reason = 'kept'), 0)::BIGINT AS words_after_quality FROM f GROUP BY source",
 }

@@ -64,6 +64,14 @@ def clean_funnel(spark, d):
     return quality.funnel(_docs(spark, d), F.col("lang") == "mr")
 
 
+def identified_funnel(spark, d):
+    """The funnel with the language stage by identification."""
+    df = _docs(spark, d)
+    found = language.identify(df, language.train(_t(spark, d, "lang_samples"))).withColumnRenamed("lang", "_lang")
+    passes = (F.col("_lang") == "mr") & (F.col("prob") >= language.LEAST_PROB)
+    return quality.funnel(df.join(found, "doc_id", "left"), passes)
+
+
 def exact_dedup(spark, d):
     return dedup.exact_dedup(_docs(spark, d).select("source", "doc_id", "text"), ORDER).select("doc_id")
 
@@ -120,7 +128,7 @@ def first_per_source(spark, d):
 
 
 def ingest_summary(spark, d):
-    return _t(spark, d, "shard_log").groupBy("source", "stage").agg(F.count("*").alias("records"), F.count_distinct("doc_id").alias("docs"), F.sum("n_bytes").alias("bytes"), F.sum("proxy_tokens").alias("proxy_tokens"))
+    return quality.ingest_summary(_t(spark, d, "shard_log"))
 
 
 # ------------------------------------------------------------ splits, packing
@@ -202,7 +210,7 @@ def flat_turns(spark, d):
 
 
 def instruction_splits(spark, d):
-    return _pairs(spark, d).withColumn("split", instruct.instruction_split(F.col("source"), F.col("instruction"), how="md5")).groupBy("source", "split").agg(F.count("*").alias("examples"))
+    return _pairs(spark, d).withColumn("split", instruct.instruction_split(F.col("source"), F.col("instruction"), how="md5")).transform(instruct.example_counts)
 
 
 def instruction_splits_xxh64(spark, d):
@@ -548,6 +556,7 @@ def seeded_head(spark, d):
 
 
 EXTRA = [
+    identified_funnel,
     holdout_xxh64, instruction_splits_xxh64,
     shard_round_trip, ordered_shards, by_source, sources_found, parquet_documents, numbered_documents, text_documents, text_lines, tweet_csv, manual_pairs, isolated_sources, pending_documents, streamed_documents,
     flat_files, corpus_meta, random_windows, piece_tokens, vocabulary_warning, covered_characters, sized_sample, capped_fuzzy_dedup, unfuzzy_pipeline, clean_statistics, turn_limit, united_sources, skipped_examples,
