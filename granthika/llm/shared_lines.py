@@ -200,17 +200,31 @@ def lines_and_chunks(df: DataFrame, names: Gazetteer, key: str = "doc_id", text:
 
 
 def _looked_up(docs: DataFrame, values: DataFrame, value: str, kind: str, fn: Callable, schema: str) -> DataFrame:
-    """``fn(batch, of)`` of every batch of ``docs``, ``of(i)`` being the sorted array of the values of row i's source.
+    """``fn(columns, rows, known, source)`` of the rows of each source in every batch of ``docs``, ``known`` being the sorted array of the source's values; it gives the columns of ``schema``.
 
     A source has at most ``values per document / LEAST_SHARE`` frequent values, since each takes
     a tenth of its documents.  A table of few rows goes to every worker; a bigger one is
     copied under ``SALT`` keys, so that no source's documents meet in one task."""
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    out = pa.schema([(x.split()[0], types[x.split()[1]]) for x in schema.split(", ")])
+
+    def each(batch: pa.RecordBatch, known_of: Callable):
+        import numpy as np
+
+        columns = {k: batch.column(k).to_pylist() for k in batch.schema.names if k != "of_source"}
+        rows: dict[str, list[int]] = {}
+        for i, s in enumerate(columns["source"]):
+            rows.setdefault(s, []).append(i)
+        parts = [fn(columns, own, known, s) for s, own in rows.items() if len(known := known_of(s, own[0]))]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), type=f.type) for k, f in enumerate(out)], schema=out)
+
     got = rows_bound(values.select("source", value), BROADCAST_ROWS)
     if got is not None:
-        known: dict[str, list[int]] = {}
+        lists: dict[str, list[int]] = {}
         for s, v in got:
-            known.setdefault(s, []).append(v)
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+            lists.setdefault(s, []).append(v)
+        shared = docs.sparkSession.sparkContext.broadcast(lists)
         made: dict = {}
 
         def few(batch: pa.RecordBatch):
@@ -218,8 +232,7 @@ def _looked_up(docs: DataFrame, values: DataFrame, value: str, kind: str, fn: Ca
 
             if not made:
                 made.update({s: np.sort(np.array(v, dtype=kind)) for s, v in shared.value.items()})
-            sources, none = batch.column("source").to_pylist(), np.zeros(0, dtype=kind)
-            return fn(batch, lambda i: made.get(sources[i], none))
+            return each(batch, lambda s, _: made.get(s, ()))
 
         return by_batch(docs, few, schema)
     arrays = values.groupBy("source").agg(F.array_sort(F.collect_list(value)).alias("of_source"))
@@ -229,30 +242,43 @@ def _looked_up(docs: DataFrame, values: DataFrame, value: str, kind: str, fn: Ca
     def many(batch: pa.RecordBatch):
         import numpy as np
 
-        col = batch.column("of_source")
-        return fn(batch, lambda i: np.array(col[i].as_py() or [], dtype=kind))
+        at = batch.column("of_source")
+        return each(batch, lambda _, i: np.array(at[i].as_py() or [], dtype=kind))
 
     return by_batch(joined, many, schema)
 
 
 def _among(x, known):
-    """Which entries of ``x`` the sorted array ``known`` holds."""
+    """Which entries of ``x`` the sorted array ``known``, which is not empty, holds."""
     import numpy as np
 
-    if not len(known):
-        return np.zeros(len(x), dtype=bool)
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _counted_keys(batch: pa.RecordBatch, chosen: Callable) -> pa.RecordBatch:
-    """``(source, line, n)``: in how many of the batch's documents each key that ``chosen(i)`` gives of row i stands."""
+def _packed(columns: dict[str, list], name: str, rows: list[int], kind: str):
+    """The packed arrays of some rows, one after the other."""
     import numpy as np
 
-    n: dict[tuple[str, int], int] = {}
-    for i, s in enumerate(batch.column("source").to_pylist()):
-        for k in np.unique(chosen(i)).tolist():
-            n[s, k] = n.get((s, k), 0) + 1
-    return pa.RecordBatch.from_pydict({"source": [s for s, _ in n], "line": [k for _, k in n], "n": list(n.values())}, schema=pa.schema([("source", pa.string()), ("line", pa.int64()), ("n", pa.int64())]))
+    return np.frombuffer(b"".join([columns[name][i] for i in rows]), dtype=kind)
+
+
+def _documents(columns: dict[str, list], rows: list[int]):
+    """The row of each line of ``_packed`` keys."""
+    import numpy as np
+
+    return np.repeat(np.array(rows), [len(columns["keys"][i]) // 8 for i in rows])
+
+
+def _documents_per_key(source: str, keys, docs):
+    """``(source, line, n)``: in how many documents each key stands."""
+    import numpy as np
+
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    once = np.ones(len(k), dtype=bool)
+    once[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    lines, n = np.unique(k[once], return_counts=True)
+    return np.full(len(lines), source, dtype=object), lines, n
 
 
 def shared_forms(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source", share: float = LEAST_SHARE, docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -271,25 +297,18 @@ def shared_forms(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str
 
     excessive = frequent(packed.where("doc_id is null").select("source", "chunk", "n"), "chunk")
 
-    def cut_lines(batch: pa.RecordBatch, of: Callable) -> pa.RecordBatch:
-        keys, parts, hashes, letters = (batch.column(k).to_pylist() for k in ("keys", "parts", "hashes", "letters"))
-
-        def chosen(i: int):
-            weight = np.frombuffer(letters[i], dtype=np.uint8).astype(np.int64)
-            first = np.concatenate([[0], np.cumsum(np.frombuffer(parts[i], dtype=np.uint32))[:-1]]).astype(np.int64)
-            gone = np.add.reduceat(weight * _among(np.frombuffer(hashes[i], dtype=np.int32), of(i)), first)
-            return np.frombuffer(keys[i], dtype=np.int64)[gone >= CUT_SHARE * np.add.reduceat(weight, first)]
+    def cut_lines(columns: dict[str, list], rows: list[int], known, source: str):
+        keys = _packed(columns, "keys", rows, "int64")
+        weight = _packed(columns, "letters", rows, "uint8").astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(_packed(columns, "parts", rows, "uint32"))[:-1]]).astype(np.int64)
+        gone = np.add.reduceat(weight * _among(_packed(columns, "hashes", rows, "int32"), known), first)
+        chosen = gone >= CUT_SHARE * np.add.reduceat(weight, first)
+        return _documents_per_key(source, keys[chosen], _documents(columns, rows)[chosen])
 
-        return _counted_keys(batch, chosen)
-
-    def count_forms(batch: pa.RecordBatch, of: Callable) -> pa.RecordBatch:
-        keys = batch.column("keys").to_pylist()
-
-        def chosen(i: int):
-            own = np.frombuffer(keys[i], dtype=np.int64)
-            return own[_among(own, of(i))]
-
-        return _counted_keys(batch, chosen)
+    def count_forms(columns: dict[str, list], rows: list[int], known, source: str):
+        keys = _packed(columns, "keys", rows, "int64")
+        chosen = _among(keys, known)
+        return _documents_per_key(source, keys[chosen], _documents(columns, rows)[chosen])
 
     counts = "source string, line bigint, n bigint"
     candidates = frequent(_looked_up(lines, excessive, "chunk", "int32", cut_lines, counts), "line", CUT_DOCS)
@@ -299,19 +318,16 @@ def shared_forms(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str
 def shared_lines(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source", share: float = LEAST_SHARE, docs: int = LEAST_DOCS) -> DataFrame:
     """``(doc_id, line_no)``: each occurrence of a shared line; see ``shared_forms``.
 
-    Lines of nothing but signs and filled-in values are none."""
+    Lines of nothing but signs and filled-in values are none.  A document without ``doc_id``
+    counts, but gives no row."""
     import numpy as np
 
     lines, forms = shared_forms(df, names, key, text, source, share, docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32())])
-
-    def places(batch: pa.RecordBatch, of: Callable) -> pa.RecordBatch:
-        out_doc, out_no = [], []
-        for i, (d, nos, keys) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc_id", "nos", "keys")))):
-            got = np.frombuffer(nos, dtype=np.int32)[_among(np.frombuffer(keys, dtype=np.int64), of(i))].tolist()
-            out_doc += [d] * len(got)
-            out_no += got
-        return pa.RecordBatch.from_pydict({"doc_id": out_doc, "line_no": out_no}, schema=schema)
+
+    def places(columns: dict[str, list], rows: list[int], known, source: str):
+        chosen = _among(_packed(columns, "keys", rows, "int64"), known)
+        ids = np.repeat(np.array([columns["doc_id"][i] for i in rows], dtype=np.int64), [len(columns["keys"][i]) // 8 for i in rows])
+        return ids[chosen], _packed(columns, "nos", rows, "int32")[chosen]
 
     return _looked_up(lines.select("doc_id", "source", "nos", "keys"), forms, "line", "int64", places, "doc_id bigint, line_no int")
 
