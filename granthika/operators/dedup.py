@@ -11,7 +11,7 @@ import math
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,8 @@ LOCAL_CHECKPOINT = "/tmp/granthika-checkpoint"
 BIG_BUCKET = 200
 #: Rounds of decisions before the pairs left may go to one task, and how many they may be then (17 bytes each).
 ROUNDS, REST = 8, 1_000_000
+#: The name of a document's place in order while near copies are dropped.
+RANK = "_granthika_rank"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,22 +43,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or LOCAL_CHECKPOINT
 
 
-def with_copies_marked(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """``df`` with ``first``: whether the row is the first in order with its NFC text.
-
-    The text travels as two hashes, and rows of one text are merged map-side, so a text that
-    is a third of all rows makes no hot task.  Null text counts as empty."""
+def _firsts(df: DataFrame, order: list[str], text: str) -> tuple[DataFrame, Column]:
+    """The places of the rows that come first with their NFC text, and the condition, safe for nulls, that joins them."""
     t = T.nfc(T.not_null(F.col(text)))
     place = F.struct(*[F.col(c) for c in order])
     hashed = df.select(*order, F.xxhash64(t).alias("_h"), F.md5(t).alias("_m"))
-    firsts = hashed.groupBy("_h", "_m").agg(F.min(place).alias("_p")).select(*[F.col(f"_p.{c}").alias(f"_o{i}") for i, c in enumerate(order)]).withColumn("first", F.lit(True))
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)])
-    return df.join(firsts, same, "left").withColumn("first", F.coalesce("first", F.lit(False))).drop(*[f"_o{i}" for i in range(len(order))])
+    firsts = hashed.groupBy("_h", "_m").agg(F.min(place).alias("_p")).select(*[F.col(f"_p.{c}").alias(f"_first_{i}") for i, c in enumerate(order)])
+    return firsts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_first_{i}")) for i, c in enumerate(order)])
+
+
+def with_copies_marked(df: DataFrame, order: list[str], text: str = "text", out: str = "first") -> DataFrame:
+    """``df`` with ``out``: whether the row is the first in order with its NFC text; a column of that name is replaced.
+
+    The text travels as two hashes, and rows of one text are merged map-side, so a text that
+    is a third of all rows makes no hot task.  Null text counts as empty."""
+    df = df.drop(out)
+    firsts, same = _firsts(df, order, text)
+    marked = df.join(firsts.withColumn(out, F.lit(True)), same, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return marked.drop(*[f"_first_{i}" for i in range(len(order))])
 
 
 def exact_dedup(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """The rows that come first with their text; ``order`` must be a key; nulls in it come first."""
-    return with_copies_marked(df, order, text).where("first").drop("first")
+    """The rows that come first with their text; ``order`` must be a key; nulls in it come first.  All columns stay."""
+    firsts, same = _firsts(df, order, text)
+    return df.join(firsts, same, "left_semi")
 
 
 def band_plan(threshold: float, permutations: int = 128) -> tuple[int, int]:
@@ -230,8 +240,8 @@ def _in_order(pairs):
     return pd.DataFrame({"v": list(before), "kept": [kept[b] for b in before]})
 
 
-def dense_rank_of(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``rank``, its place in the order from 0, without a window over all rows.
+def dense_rank_of(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """``df`` with ``out``, its place in the order from 0, without a window over all rows.
 
     Range partitions are counted, and their counts added up before each."""
     ranged = cut(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
@@ -239,7 +249,7 @@ def dense_rank_of(df: DataFrame, order: list[str]) -> DataFrame:
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    return ranged.withColumn("_part", part).join(before, "_part").withColumn("rank", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+    return ranged.withColumn("_part", part).join(before, "_part").withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
 
 
 def fuzzy_dedup(df: DataFrame, order: list[str], text: str = "text", threshold: float = 0.8, n: int = 5, how: str = "exact", permutations: int = 128, cap: int | None = None) -> DataFrame:
@@ -248,18 +258,18 @@ def fuzzy_dedup(df: DataFrame, order: list[str], text: str = "text", threshold:
     ``how``: ``exact`` finds every pair at the threshold; ``lsh`` those that MinHash bands meet,
     verified; ``lsh_only`` without verifying.  With ``cap``, documents after the cap-th kept one
     are kept as they are."""
-    ranked = dense_rank_of(df, order)
+    ranked = dense_rank_of(df, order, RANK)
     if how == "exact":
-        pairs = pairs_of_firsts(ranked, "rank", text, threshold, n)
+        pairs = pairs_of_firsts(ranked, RANK, text, threshold, n)
     else:
-        bands = minhash_bands(ranked, "rank", text, threshold, permutations, n)
-        pairs = verified_pairs(bands, ranked, "rank", text, threshold, n) if how == "lsh" else candidate_pairs(cut(bands), "rank")
-    kept = keep_first(ranked, pairs)
+        bands = minhash_bands(ranked, RANK, text, threshold, permutations, n)
+        pairs = verified_pairs(bands, ranked, RANK, text, threshold, n) if how == "lsh" else candidate_pairs(cut(bands), RANK)
+    kept = keep_first(ranked, pairs, RANK)
     if cap is not None:
-        last = kept.orderBy("rank").limit(cap).agg(F.max("rank"), F.count("*")).collect()[0]
+        last = kept.orderBy(RANK).limit(cap).agg(F.max(RANK), F.count("*")).collect()[0]
         if last[1] == cap:
-            kept = kept.where(F.col("rank") <= (last[0] if cap else -1)).unionByName(ranked.select("rank").where(F.col("rank") > (last[0] if cap else -1)))
-    return ranked.join(kept, "rank", "left_semi").drop("rank")
+            kept = kept.where(F.col(RANK) <= (last[0] if cap else -1)).unionByName(ranked.select(RANK).where(F.col(RANK) > (last[0] if cap else -1)))
+    return ranked.join(kept, RANK, "left_semi").drop(RANK)
 
 
 def dedup_counters(df: DataFrame, exact: DataFrame, final: DataFrame, by: str = "source") -> DataFrame:

@@ -51,9 +51,9 @@ def label_argmax(scores: DataFrame, context: str = "ctx", label: str = "label",
 
 
 def accuracy(df: DataFrame, predicted: str = "predicted", gold: str = "label") -> DataFrame:
-    """Correct, all, their ratio, and the chance level of the labels seen."""
+    """Correct, all, their ratio, and the chance level of the labels seen; both are null without rows."""
     right = F.count_if(F.col(predicted) == F.col(gold))
-    return df.where(F.col(gold).isNotNull()).agg(right.alias("correct"), F.count("*").alias("n"), (right / F.count("*")).alias("accuracy"), (F.lit(1.0) / F.count_distinct(gold)).alias("baseline"))
+    return df.where(F.col(gold).isNotNull()).agg(right.alias("correct"), F.count("*").alias("n"), (right / F.nullif(F.count("*"), F.lit(0))).alias("accuracy"), (F.lit(1.0) / F.nullif(F.count_distinct(gold), F.lit(0))).alias("baseline"))
 
 
 def seeded_head(df: DataFrame, n: int, key: str, seed: str = "test") -> DataFrame:

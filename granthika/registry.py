@@ -67,8 +67,8 @@ def clean_funnel(spark, d):
 def identified_funnel(spark, d):
     """The funnel with the language stage by identification."""
     df = _docs(spark, d)
-    found = language.identify(df, language.train(_t(spark, d, "lang_samples"))).withColumnRenamed("lang", "_lang")
-    passes = (F.col("_lang") == "mr") & (F.col("prob") >= language.LEAST_PROB)
+    found = language.identify(df, language.train(_t(spark, d, "lang_samples"))).select("doc_id", F.col("lang").alias("_lang"), F.col("prob").alias("_prob"))
+    passes = (F.col("_lang") == "mr") & (F.col("_prob") >= language.LEAST_PROB)
     return quality.funnel(df.join(found, "doc_id", "left"), passes)
 
 
@@ -362,7 +362,7 @@ def by_source(spark, d):
     """Documents written by source; the sources found are the folders."""
     folder = _scratch(spark, "sources")
     shards.write_by_source(_docs(spark, d).select("source", "doc_id"), folder)
-    back = spark.read.parquet(folder)
+    back = spark.read.schema("doc_id bigint, source string").parquet(folder)
     return back.groupBy("source").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least_id"))
 
 
