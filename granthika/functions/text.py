@@ -6,6 +6,9 @@ newlines.  Java's own ``\\s`` and ``\\R`` miss some of these, so the classes are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +16,12 @@ from pyspark.sql import functions as F
 SPACE_POINTS = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACE_POINTS}]"
 NOT_SPACE = f"[^{SPACE_POINTS}]"
-#: White space that ends no line.
-INLINE_SPACE = r"[\x{09}\x{1f}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+#: The same for the JVM, where one look at a character's type tells most of them; and as characters.
+JVM_SPACE, JVM_NOT_SPACE = r"(?U)[\s\x{1c}-\x{1f}]", r"(?U)[^\s\x{1c}-\x{1f}]"
+SPACE_CHARACTERS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 LINE_END = r"\x{0d}\x{0a}|[\x{0a}-\x{0d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+#: Characters that end lines, but the line feed.
+ODD_LINE_ENDS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 DEVANAGARI = (0x0900, 0x097F)
 
 # Signs that count as symbols, and phrases of page frames.
@@ -36,15 +42,15 @@ def not_null(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+", -1), lambda w: w != "")
+    return F.filter(F.split(text, JVM_SPACE + "+", -1), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NOT_SPACE + "+"))
+    return F.regexp_count(text, F.lit(JVM_NOT_SPACE + "+"))
 
 
 def lines(text: Column) -> Column:
@@ -53,13 +59,15 @@ def lines(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.coalesce(text.rlike(NOT_SPACE), F.lit(False))
+    return ~F.coalesce(text.rlike(JVM_NOT_SPACE), F.lit(False))
 
 
 def script_ratio(text: Column, first: int = DEVANAGARI[0], last: int = DEVANAGARI[1]) -> Column:
     """Share of the characters that are not white space in a range of code points; 0 without any."""
-    inside = F.regexp_count(text, F.lit(rf"[\x{{{first:x}}}-\x{{{last:x}}}]"))
-    return F.coalesce(inside / F.nullif(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)), F.lit(0.0))
+    # Runs are taken out, so that there is a match a word and not one a character.
+    outside = F.length(F.regexp_replace(text, rf"[\x{{{first:x}}}-\x{{{last:x}}}]+", ""))
+    solid = F.length(F.regexp_replace(text, JVM_SPACE + "+", ""))
+    return F.coalesce((F.length(text) - outside) / F.nullif(solid, F.lit(0)), F.lit(0.0))
 
 
 def symbol_count(text: Column) -> Column:
@@ -72,9 +80,8 @@ def symbol_ratio(text: Column) -> Column:
 
 
 def stripped_lines(text: Column) -> Column:
-    """The lines of a text that hold more than white space, stripped, by one split."""
-    plain = strip(text)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, f"{INLINE_SPACE}*+(?:{LINE_END}){SPACE}*+", -1))
+    """The lines of a text that hold more than white space, stripped."""
+    return F.filter(F.transform(F.split(text, LINE_END, -1), strip), lambda x: x != "")
 
 
 def repeated_line_ratio(text: Column) -> Column:
@@ -124,7 +131,9 @@ def framed(text: Column, phrases: list[str] | None = None) -> Column:
     def cut(own: Column) -> Column:
         return let(F.filter(own, lambda x: ~has_frame_phrase(x, phrases)), lambda rest: of_parts(own, rest))
 
-    plain = F.struct(F.lit(0.0).alias("ratio"), F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"\n\z", "").alias("rest"))
+    odd = reduce(or_, [text.contains(c) for c in ODD_LINE_ENDS])
+    even = F.when(odd, F.regexp_replace(text, LINE_END, "\n")).otherwise(text)
+    plain = F.struct(F.lit(0.0).alias("ratio"), let(even, lambda x: F.when(x.endswith("\n"), F.left(x, F.length(x) - 1)).otherwise(x)).alias("rest"))
     return F.when(let(F.lower(text), lambda low: _any_phrase(low, phrases)), let(lines(text), cut)).otherwise(plain)
 
 

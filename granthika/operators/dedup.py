@@ -85,11 +85,17 @@ def band_plan(threshold: float, permutations: int = 128) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def minhash_bands(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, permutations: int = 128, n: int = 5, seed: int = 1) -> DataFrame:
-    """``(key, band, hash)``: hashes of the bands of a document's MinHash signature over word shingles."""
+def sure_plan(threshold: float, permutations: int = 128, least: float = 0.99) -> tuple[int, int]:
+    """(bands, rows): the longest bands in which pairs at the threshold still meet with a chance of ``least``; for pairs that are verified."""
+    rows = next((r for r in range(permutations, 0, -1) if 1 - (1 - threshold**r) ** (permutations // r) >= least), 1)
+    return permutations // rows, rows
+
+
+def minhash_bands(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, permutations: int = 128, n: int = 5, seed: int = 1, plan: tuple[int, int] | None = None) -> DataFrame:
+    """``(key, band, hash)``: hashes of the bands of a document's MinHash signature over word shingles; by ``band_plan`` if no plan is given."""
     import numpy as np
 
-    bands, rows = band_plan(threshold, permutations)
+    bands, rows = plan or band_plan(threshold, permutations)
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 61, bands * rows, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 61, bands * rows, dtype=np.uint64)
@@ -262,7 +268,7 @@ def fuzzy_dedup(df: DataFrame, order: list[str], text: str = "text", threshold:
     if how == "exact":
         pairs = pairs_of_firsts(ranked, RANK, text, threshold, n)
     else:
-        bands = minhash_bands(ranked, RANK, text, threshold, permutations, n)
+        bands = minhash_bands(ranked, RANK, text, threshold, permutations, n, plan=sure_plan(threshold, permutations) if how == "lsh" else None)
         pairs = verified_pairs(bands, ranked, RANK, text, threshold, n) if how == "lsh" else candidate_pairs(cut(bands), RANK)
     kept = keep_first(ranked, pairs, RANK)
     if cap is not None:

@@ -19,7 +19,7 @@ LEAST_PROB = 0.4
 
 def _plain(text: Column) -> Column:
     """Lower-case text, white space as single spaces, one space at either end."""
-    return F.concat(F.lit(" "), F.regexp_replace(T.strip(F.lower(T.not_null(text))), T.SPACE + "+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(T.strip(F.lower(T.not_null(text))), T.JVM_SPACE + "+", " "), F.lit(" "))
 
 
 def trigrams(text: Column) -> Column:

@@ -94,7 +94,7 @@ def test_texts_of_equal_shingles(spark):
 
 
 def test_bands_meet_near_copies(spark):
-    assert dedup.band_plan(0.8, 128) == (9, 13)
+    assert dedup.band_plan(0.8, 128) == (9, 13) and dedup.sure_plan(0.8, 128) == (21, 6)
     rows = [(1, " ".join(f"w{i}" for i in range(200))), (2, " ".join(f"w{i}" for i in range(199)) + " other"), (3, "quite another text of a few words")]
     df = spark.createDataFrame(rows, "doc_id int, text string")
     got = {(r.a, r.b) for r in dedup.candidate_pairs(dedup.minhash_bands(df)).collect()}
