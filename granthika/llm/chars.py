@@ -45,6 +45,7 @@ LOOK_ALIKE_SEQUENCES = [
 ]
 
 VIRAMAS = "्્"
+NUKTAS = "\u093c\u0abc"
 JOINERS = "‌‍"
 
 
@@ -184,7 +185,7 @@ DIGIT = "0-9०-९૦-૯"
 
 @lru_cache(maxsize=1)
 def _flags():
-    """Per code point: 1 may need folding, 2 may begin and 4 may end a look-alike sequence."""
+    """Per code point: 1 may need folding, 2 may begin and 4 may end a look-alike sequence; 16 is a nukta, 8 changes before one."""
     import numpy as np
 
     flags = np.zeros(0x110000, dtype=np.uint8)
@@ -194,17 +195,42 @@ def _flags():
         if not 0xD800 <= cp < 0xE000 and (r.mapping.get(c, c) != c or unicodedata.normalize("NFC", c) != c):
             flags[cp] = 1
         if unicodedata.combining(c) and c not in VIRAMAS:
-            flags[cp] |= 1
+            flags[cp] |= 16 if c in NUKTAS else 1
+        if not 0xD800 <= cp < 0xE000 and (unicodedata.combining(c) or any(unicodedata.normalize("NFC", c + x) != c + x for x in NUKTAS)):
+            flags[cp] |= 8
     flags[0x10000:] |= 1
     for s in r.longer:
         flags[ord(s[0])] |= 2
         flags[ord(s[-1])] |= 4
-    # The nukta is common in plain text: only after letters that compose with it does it matter, and NFC is cheap.
+    # The nukta is common in plain text: only after letters that compose with it, and after other marks, does it matter.
     return flags
 
 
+@lru_cache(maxsize=1)
+def _sequences():
+    """What look-alike sequences begin with: both code points as one number.  Those of a letter, a virama and a joiner are told by the joiner."""
+    import numpy as np
+
+    return np.array(sorted({ord(s[0]) << 21 | ord(s[1]) for s in default_rewriter().longer if len(s) == 2 or s[2] != "\u200d"}), dtype=np.int64)
+
+
+#: Characters that ``fold_all`` looks at in one go: few enough that its arrays are made in memory already touched.
+AT_ONCE = 200_000
+
+
 def fold_all(texts: list[str]) -> list[str]:
     """``fold`` of each text, calling it only for texts that hold a character it may change."""
+    out: list[str] = []
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) + 1
+        if held >= AT_ONCE:
+            out += _fold_some(texts[start : i + 1])
+            start, held = i + 1, 0
+    return out + _fold_some(texts[start:])
+
+
+def _fold_some(texts: list[str]) -> list[str]:
     import numpy as np
 
     if not texts:
@@ -212,10 +238,30 @@ def fold_all(texts: list[str]) -> list[str]:
     joined = "\n".join(texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     flags = _flags()[codes]
-    hit = (flags & 1).astype(bool)
-    hit[1:] |= ((flags[:-1] & 2) > 0) & ((flags[1:] & 4) > 0)
-    hit[2:] |= ((flags[:-2] & 2) > 0) & ((flags[2:] & 4) > 0) & (codes[2:] == 0x200D)
+    before, after = flags[:-1], flags[1:]
+    # A joiner is a hit by itself, so that sequences with one need no look of their own.
+    hit = flags & 1
+    hit[1:] |= (before >> 3) & (after >> 4) & 1
+    pair = np.flatnonzero((before >> 1) & (after >> 2) & 1)
+    hit[pair[np.isin(codes[pair].astype(np.int64) << 21 | codes[pair + 1], _sequences())] + 1] = 1
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return texts
     starts = np.zeros(len(texts), dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts[:-1]], out=starts[1:])
-    hits = np.add.reduceat(hit.astype(np.int32), np.minimum(starts, max(len(hit) - 1, 0))) if len(hit) else [0] * len(texts)
-    return [fold(t) if n else t for t, n in zip(texts, hits)]
+    of = np.searchsorted(starts, at, "right") - 1
+    out = list(texts)
+    for i, own in zip(of[(first := np.flatnonzero(np.diff(of, prepend=-1)))].tolist(), np.split(at, first[1:])):
+        out[i] = _fold_lines(texts[i], (own - starts[i]).tolist())
+    return out
+
+
+def _fold_lines(text: str, at: list[int]) -> str:
+    """``fold`` of a text whose changes all lie in lines with a place of ``at``; a line ends with its line feed, before which nothing is joined with what follows."""
+    out, done = [], 0
+    for i in at:
+        if done <= i < len(text):  # after the text stands what parts it from the next
+            start, end = text.rfind("\n", 0, i) + 1, text.find("\n", i) + 1 or len(text)
+            out += [text[done:start], fold(text[start:end])]
+            done = end
+    return "".join(out) + text[done:]

@@ -210,10 +210,15 @@ def name_counts(df: DataFrame, text: str = "text", known: Gazetteer | None = Non
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         got: Counter = Counter()
         words: Counter = Counter()
+        tokens: Counter = Counter()
         for t in fold_all([x for x in batch.column(0).to_pylist() if x]):
             if known is None:
-                words.update(WORDS.findall(t.lower()))
+                tokens.update(t.lower().split())
             got.update(shown_names(t, known))
+        # No word holds white space, so each token is searched for its words once a batch.
+        for t, n in tokens.items():
+            for w in WORDS.findall(t):
+                words[w] += n
         keys = list(got)
         return pa.RecordBatch.from_pydict(
             {"role": [k[0] for k in keys] + ["other"] * len(words), "word": [k[1] for k in keys] + list(words), "n": [got[k] for k in keys] + list(words.values())}, schema=schema

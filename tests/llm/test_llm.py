@@ -25,6 +25,19 @@ def names():
 # ------------------------------------------------------------------ look-alikes
 
 
+def test_fold_all_folds_only_lines_that_change(monkeypatch):
+    """Equal to ``fold`` of each text on random marks, nuktas, joiners and line ends; plain text with nuktas is left alone."""
+    r = random.Random(2)
+    pool = [*map(chr, [*range(0x900, 0x980), *range(0xA80, 0xB00)]), *"\r\n\u200c\u200dae\u0301\u093c\u093c\u094d\u0abcरर ，"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 7))) for _ in range(20_000)]
+    fold = chars.fold
+    assert chars.fold_all(texts) == [fold(t) for t in texts] and chars.fold_all([""]) == [""] and chars.fold_all([]) == []
+    called = []
+    monkeypatch.setattr(chars, "fold", lambda t: called.append(t) or fold(t))
+    plain = "लड़का पढ़ता रहा\nराजा बोले\n"
+    assert chars.fold_all([plain, plain + "ａ\n" + plain]) == [plain, plain + "a\n" + plain] and called == ["ａ\n"]
+
+
 def test_fold_makes_equal_what_reads_equal():
     same = [("ａｂｃ", "abc"), ("сору", "copy"), ("a​b", "ab"), ("a b", "a b"), ("साे", "सो"), ("अा", "आ"), ("é", "é"), ("र्‍य", "ऱ्य"), ("a‑b", "a-b"), ("x\r\ny", "x\ny"), ("a\ufe0fb\u3164\U000e0101", "ab"), ("a\u2800b", "a b"), ("ा" + "े\u200b" * 9, "ो" + "े" * 8)]
     for a, b in same:
