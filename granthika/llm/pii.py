@@ -10,23 +10,33 @@ equal surrogates, different values different ones.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import os
 import re
+import shutil
+import tempfile
 import unicodedata
+import uuid
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import DIGIT as D
 from .chars import fold, fold_all
-from .common import by_batch, cut
+from .common import by_batch, cut, rows_bound
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Names of each role that the gazetteer keeps at most.
+#: Names that are held in memory at most; if there are more, all lie in sorted files that every worker has.
 MOST_NAMES = 50_000
+#: Folders of such files, which are served from there until the driver ends.
+_SERVED: list[tempfile.TemporaryDirectory] = []
 
 AT = r"(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?)"
 DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)"
@@ -98,19 +108,89 @@ TITLES = {"mr", "mrs", "ms", "dr", "shri", "smt", "by", "the", "words"}
 NOT_INITIALS = {"मु", "पो", "क्र", "नं", "ता", "जि", "डॉ", "सौ", "कु", "रु"}
 
 
+class NameFile:
+    """A set of names as a file, sorted, with the places where each begins after them; of its memory only pages in use count."""
+
+    def __init__(self, file: str, n: int):
+        self.file, self.n = file, n
+        self._mapped = None
+        self._known = lru_cache(maxsize=100_000)(self._search)
+
+    def __reduce__(self):
+        return NameFile, (self.file, self.n)
+
+    @classmethod
+    def write(cls, spark: SparkSession, words: Iterable[str]) -> NameFile:
+        """Of words in order, none twice; the file goes to every worker."""
+        _SERVED.append(tempfile.TemporaryDirectory(prefix="granthika-names-"))
+        path, n, end = os.path.join(_SERVED[-1].name, uuid.uuid4().hex), 0, 0
+        with open(path, "wb") as f, tempfile.TemporaryFile() as places:
+            places.write(end.to_bytes(8, "little"))
+            for w in words:
+                end += f.write(w.encode())
+                n += 1
+                places.write(end.to_bytes(8, "little"))
+            places.seek(0)
+            shutil.copyfileobj(places, f)
+        spark.sparkContext.addFile(path)
+        return cls(os.path.basename(path), n)
+
+    def _at(self, i: int) -> bytes:
+        if self._mapped is None:
+            import numpy as np
+
+            raw = np.memmap(SparkFiles.get(self.file), dtype=np.uint8, mode="r")
+            self._mapped = memoryview(raw), len(raw) - 8 * (self.n + 1)
+        raw, places = self._mapped
+        a, b = (int.from_bytes(raw[places + 8 * k : places + 8 * k + 8], "little") for k in (i, i + 1))
+        return bytes(raw[a:b])
+
+    def _search(self, word: str) -> bool:
+        w = word.encode("utf-8", "surrogatepass")
+        i = bisect.bisect_left(range(self.n), w, key=self._at)
+        return i < self.n and self._at(i) == w
+
+    def __contains__(self, word: str) -> bool:
+        return self._known(word)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return self._at(i).decode()
+
+
 class Gazetteer:
-    """Given names and surnames, in lower case and folded."""
+    """Given names and surnames, in lower case and folded; sets, or files if they are many."""
 
-    def __init__(self, given: set[str], surnames: set[str]):
+    def __init__(self, given: set[str] | NameFile, surnames: set[str] | NameFile):
         self.given, self.surnames = given, surnames
-        self.all = frozenset(surnames | given)
+        self.in_files = isinstance(given, NameFile)
+        self.all = frozenset() if self.in_files else frozenset(surnames | given)
         self._automaton = None
 
     def __reduce__(self):
         return Gazetteer, (self.given, self.surnames)
 
+    @classmethod
+    def of(cls, names: DataFrame) -> Gazetteer:
+        """From ``(word, given)``, a row a word; all of them, in memory if they are few."""
+        rows = rows_bound(names.select("word", "given"), MOST_NAMES)
+        if rows is not None:
+            return cls({w for w, given in rows if given}, {w for w, given in rows if not given})
+        return cls(*(NameFile.write(names.sparkSession, (r["word"] for r in names.where(role).select("word").orderBy("word").toLocalIterator())) for role in ("given", "not given")))
+
     def lines_with_names(self, text: str) -> Iterator[tuple[int, str]]:
         """(offset, line) of the lines that hold a known name, or a longer word with one in it."""
+        if self.in_files:
+            at = 0
+            for line in text.split("\n"):
+                if any((w := m.lower()) in self.surnames or w in self.given for m in WORDS.findall(line)):
+                    yield at, line
+                at += len(line) + 1
+            return
         if self._automaton is None:
             import ahocorasick
 
@@ -137,19 +217,6 @@ class Gazetteer:
                 end = len(text) if end < 0 else end
                 yield start, text[start:end]
 
-    @classmethod
-    def fit(cls, counts: dict[tuple[str, str], int], least: int = 3, share: float = 0.3) -> Gazetteer:
-        """From ``{(role, word): n}``; roles: given and surname (shown as such), other (anywhere).
-
-        A word is kept that was shown ``least`` times and in ``share`` of all its occurrences."""
-
-        def kept(role: str) -> dict[str, int]:
-            of = [(w, n) for (r, w), n in counts.items() if r == role and n >= least and n >= share * counts.get(("other", w), n)]
-            return dict(sorted(of, key=lambda x: (-x[1], x[0]))[:MOST_NAMES])
-
-        given, surnames = kept("given"), kept("surname")
-        return cls({w for w, n in given.items() if n >= surnames.get(w, 0)}, {w for w, n in surnames.items() if n > given.get(w, 0)})
-
 
 def _cued(text: str) -> Iterator[tuple[re.Match, bool]]:
     """What cues show, and whether the cue stands after it.  A cue before a name is tried where its sign is; for one after, its line is searched."""
@@ -230,16 +297,20 @@ def name_counts(df: DataFrame, text: str = "text", known: Gazetteer | None = Non
 def fit_gazetteer(df: DataFrame, text: str = "text", least: int = 3, share: float = 0.3) -> Gazetteer:
     """Learn names from all documents, in two rounds: at cues, then beside the names learned there.
 
-    A word is weighed against all its occurrences in ``df``; only words kept reach the driver."""
+    A word is kept that was shown ``least`` times and in ``share`` of all its occurrences in
+    ``df``; it is a given name if shown as one as often as a surname.  The first round goes first."""
     cues = cut(name_counts(df, text))
     other = cues.where("role = 'other'").select("word", F.col("n").alias("of"))
-    found = None
+    found = names = None
+
+    def shown_as(role: str):
+        return F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0))
+
     for _ in range(2):
         shown = (cues if found is None else name_counts(df, text, found)).where((F.col("role") != "other") & (F.col("n") >= least))
-        kept = cut(shown.join(other, "word").where(F.col("n") >= share * F.col("of")).select("role", "word", "n"))
-        rows = [r for role in ("given", "surname") for r in kept.where(F.col("role") == role).orderBy(F.desc("n"), "word").limit(MOST_NAMES).collect()]
-        new = Gazetteer.fit({(r["role"], r["word"]): r["n"] for r in rows}, least, share)
-        found = new if found is None else Gazetteer(found.given | new.given - found.surnames, found.surnames | new.surnames - found.given)
+        kept = shown.join(other, "word").where(F.col("n") >= share * F.col("of")).groupBy("word").agg((shown_as("given") >= shown_as("surname")).alias("given"))
+        names = cut(kept if names is None else names.join(kept.withColumnRenamed("given", "later"), "word", "full").select("word", F.coalesce("given", "later").alias("given")))
+        found = Gazetteer.of(names)
     return found
 
 
@@ -420,15 +491,31 @@ KEPT_IN_ADDRESS = set(re.sub(r"[\\?.]", "", HOUSE.replace("|", " ")).split()) |
 _INDIC = re.compile(r"(?![०-९૦-૯।॥])[ऀ-૿](?:(?![०-९૦-૯।॥])[ऀ-૿\u200b-\u200d])*")
 
 
+class Pool:
+    """Some of an ordered collection of names, by their places."""
+
+    def __init__(self, names: list[str] | NameFile, at: array):
+        self.names, self.at = names, at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> str:
+        return self.names[self.at[i]]
+
+
 class Surrogates:
     """Keyed replacements of one kind, script and format; see ``surrogate``."""
 
     def __init__(self, names: Gazetteer, key: str):
         self.key = hashlib.blake2b(key.encode()).digest()
-        self.pools: dict[tuple[str, str, str], list[str]] = defaultdict(list)
+        self.pools: dict[tuple[str, str, str], Pool] = {}
         for role, of in (("given", names.given), ("surname", names.surnames)):
-            for w in sorted(of):
-                self.pools[role, self.script(w), self.gender(w) if role == "given" else ""].append(w)
+            ordered = of if isinstance(of, NameFile) else sorted(of)
+            places: dict[tuple[str, str, str], array] = defaultdict(lambda: array("q"))
+            for i, w in enumerate(ordered):
+                places[role, self.script(w), self.gender(w) if role == "given" else ""].append(i)
+            self.pools |= {k: Pool(ordered, at) for k, at in places.items()}
 
     @staticmethod
     def script(w: str) -> str:
@@ -482,10 +569,10 @@ class Surrogates:
         new = of[i] if of[i] != w[0].upper() else of[(i + 1) % len(of)]
         return new.lower() if w.islower() else new
 
-    def other(self, pool: list[str], w: str, more: str) -> str | None:
+    def other(self, pool: list[str] | Pool, w: str, more: str) -> str | None:
         """One of the pool that is not ``w``, if there is one."""
         i = self.number(w, more) % len(pool) if pool else 0
-        return next((x for x in (pool[i:] + pool[:1])[:2] if x != w), None)
+        return next((x for k in (i, i + 1)[: len(pool)] if (x := pool[k % len(pool)]) != w), None)
 
     def name(self, value: str) -> str:
         parts = re.split(r"(\s+|\.\s*)", value)

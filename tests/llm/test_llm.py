@@ -165,6 +165,23 @@ def test_names_are_learned_from_all_documents(spark):
     assert [text[a:b] for a, b, _ in d.find(text)] == ["इरावती माळणसे"]
 
 
+def test_names_beyond_what_memory_holds_lie_in_files(spark, monkeypatch):
+    """No number of names is too many: with room for two, all are learned, found and replaced as with room for all."""
+    given, surnames = ("कैवल्या", "सारंग", "Nayanika", "इरावती"), ("मोरवंडे", "रानवटे", "Moravande", "माळणसे")
+    rows = [(10 * i + k, f"वार्ताहर: {a} {b}\n\nकाल {a} {surnames[(i + 1) % 4]} आले.") for i, (a, b) in enumerate(zip(given, surnames)) for k in range(3)]
+    df = spark.createDataFrame([*rows, (99, None), (100, "कुणी नाही")], "doc_id bigint, text string")
+    few = pii.fit_gazetteer(df)
+    monkeypatch.setattr(pii, "MOST_NAMES", 2)
+    many = pii.fit_gazetteer(df)
+    assert many.in_files and not few.in_files and len(few.given) >= 4 and len(few.surnames) >= 4
+    assert list(many.given) == sorted(few.given) and list(many.surnames) == sorted(few.surnames)
+    assert all(w in many.given for w in few.given) and "कुणी" not in many.given and "" not in many.surnames and "zzz" not in many.given
+    want = {tuple(r) for r in pii.pii_lines(df, few).collect()}
+    assert {tuple(r) for r in pii.pii_lines(df, many).collect()} == want and len(want) == 24
+    a, b = ({tuple(r) for r in pii.redact_documents(df, g, "k").select("doc_id", "redacted").collect()} for g in (few, many))
+    assert a == b and len(a) == 14
+
+
 def test_filters_let_every_value_pass(names):
     d = pii.Detector(names)
     for kind, v in [
