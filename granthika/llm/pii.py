@@ -96,6 +96,8 @@ CUED_BEFORE = re.compile(rf"(?<![\wऀ-૿])(?:{BEFORE})\s*{_NAME}(?![\wऀ-૿]
 CUED_AFTER = re.compile(rf"(?:^|[.।\n\]\[>*-]\s*){_NAME}\s(?:{AFTER})(?![\wऀ-૿])", re.M)
 #: A sign that a text may hold a cue; cheaper to search than the cues.
 CUE_HINT = re.compile(rf"({BEFORE})|\s(?:{AFTER})")
+#: What the cues begin with, those of ``AFTER`` behind white space.
+CUE_STARTS = {x.split("\\")[0] for x in BEFORE.split("|")} | {c + x for c in map(chr, range(0x3001)) if c.isspace() for x in ("यां", "म्हण", "ने", "कहते", "|")}
 # What is also said after other words than names; it shows a name after an initial only.
 LOOSE_AFTER = re.compile(r"\s(?:म्हणाली|म्हणाला|ने|कहते)")
 WORDS = re.compile(r"[\wऀ-૿'’‌‍]+")
@@ -218,11 +220,31 @@ class Gazetteer:
                 yield start, text[start:end]
 
 
+@lru_cache(maxsize=1)
+def _cue_starts():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for x in CUE_STARTS:
+        automaton.add_word(x)
+    automaton.make_automaton()
+    return automaton
+
+
+def cue_hints(text: str) -> Iterator[re.Match]:
+    """What ``CUE_HINT`` matches, one after the other; tried only where a cue begins."""
+    done = 0
+    for start in sorted({end + 1 - n for end, n in _cue_starts().iter(text)}):
+        if start >= done and (m := CUE_HINT.match(text, start)):
+            done = m.end()
+            yield m
+
+
 def _cued(text: str) -> Iterator[tuple[re.Match, bool]]:
     """What cues show, and whether the cue stands after it.  A cue before a name is tried where its sign is; for one after, its line is searched."""
     shown: list[tuple[int, int]] = []
     done = 0
-    for m in CUE_HINT.finditer(text):
+    for m in cue_hints(text):
         if m[1]:
             x = CUED_BEFORE.match(text, m.start())
             if x:
@@ -320,6 +342,7 @@ class Detector:
     def __init__(self, names: Gazetteer):
         self.names = names
         self.number = re.compile(rf"[{D}](?:[ ().\-–/]{{0,2}}[{D}]){{6}}").search
+        self.digit = re.compile(f"[{D}]").search
         self.lettered = re.compile(rf"[{D}]{{4}}[A-Za-z]").search
         self.housed = re.compile(rf"[{D}](?:/[^\s,]{{1,6}})?\s*,").search
 
@@ -333,6 +356,9 @@ class Detector:
         start = 0
         # Values stand within lines; only lines that show a sign of one are searched.
         for line in text.split("\n"):
+            if not (at or spelled or self.digit(line)):
+                start += len(line) + 1
+                continue
             own: list[tuple[int, int, str]] = []
 
             def add(pattern: re.Pattern, kind: str) -> None:

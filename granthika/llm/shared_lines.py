@@ -44,12 +44,13 @@ MONTHS = (
     "jan feb mar apr jun jul aug sep sept oct nov dec am pm "
     "જાન્યુઆરી ફેબ્રુઆરી માર્ચ એપ્રિલ મે જૂન જુલાઈ ઑગસ્ટ ઓગસ્ટ સપ્ટેમ્બર ઑક્ટોબર ઓક્ટોબર નવેમ્બર ડિસેમ્બર"
 ).split()
-_MONTH = re.compile("(?:" + "|".join(sorted(set(MONTHS), key=len, reverse=True)) + r")(?![\wऀ-૿])")
-_IN_WORD = re.compile(r"[\wऀ-૿]")
+_IN_WORD = re.compile(r"[\wऀ-૿]").match
 _DATED = re.compile(r"\d")
 
-#: What one batch of documents becomes: a row of packed arrays a document, and a row a source and chunk.
-PACKED = "doc_id bigint, source string, nos binary, keys binary, parts binary, hashes binary, letters binary, chunk int, n bigint"
+#: What one batch of documents becomes: a row of packed arrays a document, and a row a source with the number of documents of each chunk.
+PACKED = "doc_id bigint, source string, nos binary, keys binary, parts binary, hashes binary, letters binary, counts array<bigint>"
+#: Counts of chunks that are held before they are summed up; if over half as many are left, they are given away.
+HELD_COUNTS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -62,9 +63,28 @@ def _letters():
     return keep
 
 
-def _month(m: re.Match) -> str:
-    """A blank for a month, but what it is if letters stand before it."""
-    return m[0] if m.start() and _IN_WORD.match(m.string, m.start() - 1) else " "
+@lru_cache(maxsize=1)
+def _months():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for x in MONTHS:
+        automaton.add_word(x)
+    automaton.make_automaton()
+    return automaton
+
+
+def without_months(text: str) -> str:
+    """A blank for each month, as a word of its own, in lines with a figure."""
+    out, done = [], 0
+    for end, n in _months().iter(text):
+        a, b = end + 1 - n, end + 1
+        if not (b < len(text) and _IN_WORD(text[b]) or a and _IN_WORD(text[a - 1])):
+            stop = text.find("\n", b)
+            if _DATED.search(text, text.rfind("\n", 0, a) + 1, len(text) if stop < 0 else stop):
+                out += [text[done:a], " "]
+                done = b
+    return "".join(out) + text[done:] if out else text
 
 
 def without_values(d: Detector, text: str) -> str:
@@ -77,10 +97,7 @@ def without_values(d: Detector, text: str) -> str:
             out += [text[at:a], "\n" * text.count("\n", a, b) or " "]
             at = b
         text = "".join(out) + text[at:]
-    text = text.lower()
-    if _DATED.search(text):
-        text = "\n".join(_MONTH.sub(_month, x) if _DATED.search(x) else x for x in text.split("\n"))
-    return text.replace("\0", " ")
+    return without_months(text.lower()).replace("\0", " ")
 
 
 class Lines:
@@ -158,47 +175,114 @@ class Lines:
         return line[kept], hashes[np.cumsum(is_cut)[edges] - 1][kept], letters[kept]
 
 
+def _runs(x):
+    """Where each run of equal numbers begins."""
+    import numpy as np
+
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(first)
+
+
+class ChunkCounts:
+    """The number of documents of each source and chunk, over the slices of a batch."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def add(self, sources: list[str], doc, hashes) -> None:
+        """Parts of chunks: the document of each, by its place in ``sources``, and the chunk's hash."""
+        import numpy as np
+
+        of = np.array([self.place.setdefault(s, len(self.place)) for s in sources], dtype=np.uint64)
+        once = np.sort((doc.astype(np.uint64) << np.uint64(32)) | hashes.view(np.uint32).astype(np.uint64))
+        once = once[_runs(once)]
+        keys = np.sort((of[(once >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (once & np.uint64(0xFFFFFFFF)))
+        first = _runs(keys)
+        self.parts.append((keys[first], np.diff(first, append=len(keys))))
+        self.held += len(first)
+
+    def sum(self) -> None:
+        import numpy as np
+
+        if len(self.parts) > 1:
+            keys, n = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = _runs(keys)
+            self.parts = [(keys[first], np.add.reduceat(n[order], first) if len(keys) else n)]
+            self.held = len(first)
+
+    def taken(self) -> tuple[list[str], pa.ListArray]:
+        """The sources, and of each the counts: the chunk in the upper half of a number, its documents in the lower.  Nothing is held after."""
+        import numpy as np
+
+        self.sum()
+        keys, n = self.parts[0] if self.parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        bounds = np.searchsorted(keys, np.arange(len(self.place) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32)
+        packed = ((keys << np.uint64(32)) | n.astype(np.uint64)).view(np.int64)
+        got = list(self.place), pa.ListArray.from_arrays(pa.array(bounds), pa.array(packed))
+        self.__init__()
+        return got
+
+
+def _binaries(x, at) -> pa.Array:
+    """The parts of an array between the places ``at``, as binary values."""
+    import numpy as np
+
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
 def lines_and_chunks(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The lines of every document and what chunks they lie in, packed, and in rows without ``doc_id`` the documents of each chunk and source, counted within the batch."""
+    """The lines of every document and what chunks they lie in, packed, and in rows with ``counts`` the documents of each chunk of a source, counted within the batch; see ``chunk_counts``."""
     made = {}
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(k, pa.binary()) for k in ("nos", "keys", "parts", "hashes", "letters")], ("chunk", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(k, pa.binary()) for k in ("nos", "keys", "parts", "hashes", "letters")], ("counts", pa.list_(pa.int64()))])
 
-    def run(batch: pa.RecordBatch):
-        return map(pack, slices(batch, 2))
+    def counted(counts: ChunkCounts) -> pa.RecordBatch:
+        sources, lists = counts.taken()
+        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()) if f.name == "source" else lists if f.name == "counts" else pa.nulls(len(sources), f.type) for f in schema], schema=schema)
 
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch):
+        counts = ChunkCounts()
+        for part in slices(batch, 2):
+            yield pack(part, counts)
+            if counts.held > HELD_COUNTS:
+                counts.sum()
+                if counts.held > HELD_COUNTS // 2:
+                    yield counted(counts)
+        yield counted(counts)
+
+    def pack(batch: pa.RecordBatch, counts: ChunkCounts) -> pa.RecordBatch:
         import numpy as np
 
         d = made.get("d") or made.setdefault("d", Detector(names))
-        ids, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        sources = batch.column(1).to_pylist()
         lines = Lines(d, fold_all([t or "" for t in batch.column(2).to_pylist()]))
         keys = lines.keys()
         line, hashes, letters = lines.chunks()
         parts = np.bincount(line, minlength=len(keys)).astype(np.uint32)
-        rows: dict[str, list] = {k: [] for k in schema.names}
         at_line = np.searchsorted(lines.doc, np.arange(lines.n_docs + 1))
         at_part = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)[at_line]
-        small, no = np.minimum(letters, 255).astype(np.uint8), lines.no.astype(np.int32)
-        for i in np.flatnonzero(np.diff(at_line)).tolist():
-            a, b, x, y = at_line[i], at_line[i + 1], at_part[i], at_part[i + 1]
-            for k, v in zip(schema.names, (ids[i], sources[i], no[a:b].tobytes(), keys[a:b].tobytes(), parts[a:b].tobytes(), hashes[x:y].tobytes(), small[x:y].tobytes(), None, None)):
-                rows[k].append(v)
-        names_of = sorted(set(sources))
-        place = {s: i for i, s in enumerate(names_of)}
-        of = np.array([place[s] for s in sources], dtype=np.uint64)
-        once = np.unique((lines.doc[line].astype(np.uint64) << np.uint64(32)) | hashes.view(np.uint32).astype(np.uint64))
-        counted, n = np.unique((of[(once >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (once & np.uint64(0xFFFFFFFF)), return_counts=True)
-        for k in ("doc_id", "nos", "keys", "parts", "hashes", "letters"):
-            rows[k] += [None] * len(counted)
-        rows["source"] += [names_of[i] for i in (counted >> np.uint64(32)).astype(np.int64).tolist()]
-        rows["chunk"] += (counted & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()
-        rows["n"] += n.tolist()
-        return pa.RecordBatch.from_pydict(rows, schema=schema)
+        counts.add(sources, lines.doc[line], hashes)
+        # A document without lines has no row, and no part of the arrays.
+        kept = np.flatnonzero(np.diff(at_line))
+        at_line, at_part = (np.append(x[kept], x[-1]) for x in (at_line, at_part))
+        packed = ((lines.no.astype(np.int32), at_line), (keys, at_line), (parts, at_line), (hashes, at_part), (np.minimum(letters, 255).astype(np.uint8), at_part))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *[_binaries(*x) for x in packed], pa.nulls(len(kept), schema.field("counts").type)], schema=schema)
 
     cols = df.where(F.col(text).rlike("\\S")).select(F.col(key).cast("bigint"), F.coalesce(F.col(source), F.lit("")), text)
     return by_batch(cols, run, PACKED)
 
 
+def chunk_counts(packed: DataFrame) -> DataFrame:
+    """``(source, chunk, n)``: the documents of each chunk and source, a row a batch that holds it."""
+    both = packed.where("counts is not null").select("source", F.explode("counts").alias("both"))
+    return both.select("source", F.shiftright("both", 32).cast("int").alias("chunk"), F.col("both").bitwiseAND(0xFFFFFFFF).alias("n"))
+
+
 def _looked_up(docs: DataFrame, values: DataFrame, value: str, kind: str, fn: Callable, schema: str) -> DataFrame:
     """``fn(columns, rows, known, source)`` of the rows of each source in every batch of ``docs``, ``known`` being the sorted array of the source's values; it gives the columns of ``schema``.
 
@@ -288,14 +372,16 @@ def shared_forms(df: DataFrame, names: Gazetteer, key: str = "doc_id", text: str
     Null texts count as documents of their source; a null source is a source of its own."""
     import numpy as np
 
-    least = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.greatest(F.lit(docs), F.ceil(F.count("*") * F.lit(share) - F.lit(1e-9))).alias("least"))
+    least = cut(df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.greatest(F.lit(docs), F.ceil(F.count("*") * F.lit(share) - F.lit(1e-9))).alias("least")))
+    # Else the counts may be taken for the smaller side, as nothing tells how many lie in an array.
+    least = F.broadcast(least) if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else least.hint("merge")
     packed = cut(lines_and_chunks(df, names, key, text, source))
     lines = packed.where("doc_id is not null").select("doc_id", "source", "nos", "keys", "parts", "hashes", "letters")
 
     def frequent(counts: DataFrame, value: str, part: float = 1.0) -> DataFrame:
         return cut(counts.groupBy("source", value).agg(F.sum("n").alias("n")).join(least, "source").where(F.col("n") >= F.col("least") * F.lit(part)).select("source", value))
 
-    excessive = frequent(packed.where("doc_id is null").select("source", "chunk", "n"), "chunk")
+    excessive = frequent(chunk_counts(packed), "chunk")
 
     def cut_lines(columns: dict[str, list], rows: list[int], known, source: str):
         keys = _packed(columns, "keys", rows, "int64")

@@ -295,6 +295,39 @@ def test_the_cut_chunks_decide(spark, names, monkeypatch):
     assert shared_lines.shared_lines(df, names).count() == 0
 
 
+def test_chunks_are_counted_once_a_batch(spark, names, monkeypatch):
+    """A batch gives a row a document and one a source with each chunk's documents, however many slices it is worked on in."""
+    texts = [f"one shared line of text here\n{'abcdefgh'[i % 8] * 9} {'own words'[i % 9 :]}\n" for i in range(40)] + ["", "12", "nothing shared"]
+    rows = [(i, (None, "s", "t")[i % 3], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").coalesce(1)
+    monkeypatch.setattr(shared_lines, "slices", lambda batch, column, of=shared_lines.slices: of(batch, column, 60))
+    assert shared_lines.lines_and_chunks(df, names).count() == 41 + 3
+    want = {}
+    for _, s, t in rows:
+        for h in {int(h) for h in shared_lines.Lines(pii.Detector(names), [t]).chunks()[1]}:
+            want[s or "", h] = want.get((s or "", h), 0) + 1
+    got = shared_lines.chunk_counts(shared_lines.lines_and_chunks(df, names)).collect()
+    assert {(s, h): n for s, h, n in got} == want and len(got) == len(want) and min(h for _, h in want) < 0 < max(want.values()) - 9
+    monkeypatch.setattr(shared_lines, "HELD_COUNTS", 9)  # given away again and again
+    got = shared_lines.chunk_counts(shared_lines.lines_and_chunks(df, names)).collect()
+    assert len(got) > len(want) and {k: sum(n for s, h, n in got if (s, h) == k) for k in want} == want
+
+
+def test_cues_and_months_are_found_as_by_patterns():
+    r = random.Random(9)
+    month = re.compile(r"(?<![\wऀ-૿])(?:" + "|".join(shared_lines.MONTHS) + r")(?![\wऀ-૿])")
+    pool = [*shared_lines.MONTHS[::5], "may", "मे", "में", "1", "२", "\n", "\n", "x", "_", " ", " ", ",", "\x85", "\t", "|", "श्री", "श्रीमती", ".", "Mrs", "By", "Shri", "यांनी", "ने", "कहते", "म्हणाला", "Staff Writer", "प्रतिनिधी", "लेखन –", "Contact person:", "नाव="]
+    shown = months = 0
+    for _ in range(20_000):
+        text = "".join(r.choice(pool) for _ in range(r.randint(0, 14)))
+        want = [m.span() for m in pii.CUE_HINT.finditer(text)]
+        assert [m.span() for m in pii.cue_hints(text)] == want, text
+        lines = "\n".join(month.sub(" ", x) if re.search(r"\d", x) else x for x in text.split("\n"))
+        assert shared_lines.without_months(text) == lines, text
+        shown, months = shown + len(want), months + (lines != text)
+    assert shown > 9_000 and months > 500
+
+
 # ----------------------------------------------------------------------- pairs
 
 
